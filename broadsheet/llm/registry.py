@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe
+from . import bpe, exact, media, secrets
 
 
 def queries() -> dict[str, Callable]:
-    return {"op1_bpe": bpe.query}
+    return {"op1_bpe": bpe.query, "op3_exact": exact.query, "op6_secrets": secrets.query, "op10_media": media.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact": exact.ORACLE}
