@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, exact, media, secrets
+from . import bpe, exact, media, near, secrets
 
 
 def queries() -> dict[str, Callable]:
-    return {"op1_bpe": bpe.query, "op3_exact": exact.query, "op6_secrets": secrets.query, "op10_media": media.query}
+    return {
+        "op1_bpe": bpe.query,
+        "op2_near": near.query,
+        "op3_exact": exact.query,
+        "op6_secrets": secrets.query,
+        "op10_media": media.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact": exact.ORACLE}
+    return {"op2_near": near.ORACLE, "op3_exact": exact.ORACLE}
