@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, exact, media, near, packing, secrets
+from . import bpe, exact, media, near, packing, quality, secrets
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op1_bpe": bpe.query,
         "op2_near": near.query,
         "op3_exact": exact.query,
+        "op4_quality": quality.query,
         "op5_packing": packing.query,
         "op6_secrets": secrets.query,
         "op10_media": media.query,
