@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, exact, media, near, packing, quality, secrets, toxicity
+from . import bpe, exact, extract, media, near, packing, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable]:
         "op4_quality": quality.query,
         "op5_packing": packing.query,
         "op6_secrets": secrets.query,
+        "op7_extract": extract.query,
         "op9_toxicity": toxicity.query,
         "op10_media": media.query,
     }
