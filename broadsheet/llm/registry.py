@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, exact, extract, media, near, packing, quality, secrets, toxicity
+from . import bpe, exact, extract, lines, media, near, packing, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -16,10 +16,11 @@ def queries() -> dict[str, Callable]:
         "op5_packing": packing.query,
         "op6_secrets": secrets.query,
         "op7_extract": extract.query,
+        "op8_lines": lines.query,
         "op9_toxicity": toxicity.query,
         "op10_media": media.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near": near.ORACLE, "op3_exact": exact.ORACLE}
+    return {"op2_near": near.ORACLE, "op3_exact": exact.ORACLE, "op8_lines": lines.ORACLE}
