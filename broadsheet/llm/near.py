@@ -6,10 +6,11 @@ and a value, later rounds have larger values, and after as many rounds as coordi
 coordinate alone, so each gets filled. Bands of coordinates are buckets; their number follows from MISS, the probability
 that a pair just at the threshold shares no bucket. All links are confirmed on the full sets.
 
-Large buckets are never turned into all their pairs. First each class is compared with one class of its buckets, the one with the most
-company there. Then, in rounds, a bucket's members are compared with a growing number of its members (PIVOTS, times GROWTH each
-round, until all have had their turn), but only where the two still are in different components; buckets whose members are all
-in one component drop out. A pair is compared once, so every pair of a bucket that is not yet joined gets compared.
+Large buckets are never turned into all their pairs. In each bucket the class with the most company in its buckets is the hub, and every
+class is compared with its hubs. Components that this leaves apart can only be joined by two members of one bucket that share a token of their
+prefixes, in an order of tokens that puts those first which the hub lacks; so members apart from their hub are joined with the hub's
+members on such tokens, under the positional and size bounds, and these pairs are compared too. Every pair of a bucket is thus
+compared, or cannot be similar, or is already in one component.
 
 Defined results: null text, empty text and text without words have an empty set and are linked with nothing. With fewer words than a shingle
 has, all words are one shingle. Rows that share an id count as one document. A row with a null id can be joined to others
@@ -34,8 +35,6 @@ from . import common, graph
 SHINGLE = 5
 ROWS = 6
 MISS = 1e-8
-PIVOTS = 4
-GROWTH = 8
 BUCKETS = 64
 
 _EMPTY = np.iinfo(np.uint64).max
@@ -148,7 +147,7 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, percent: int) -> DataFrame:
-    """(x, y, left, right) -> (x, y) where the full sets are similar enough."""
+    """(x, y, mine, other) -> (x, y) where the full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,61 +178,88 @@ def groups(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text: str
     return out.select(F.col("id").alias(id_col), "n", component.alias("component"))
 
 
+def _prefixes(members: DataFrame, percent: int) -> DataFrame:
+    """(hub, x, root, apart, n, own set, hub's set) -> a row for each token of x's prefix in the hub's order.
+
+    In a hub's order the tokens that the hub lacks come first. Two sets that are similar enough share a token among their first
+    n - ceil(percent * n / 100) + 1 tokens in any common order, and in this one the tokens that a whole group has come last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, row, place, shared = [], [], [], []
+            for i, (mine, other) in enumerate(zip(batch.column("mine"), batch.column("other"))):
+                a, b = (np.frombuffer(side.as_buffer(), np.uint64) for side in (mine, other))
+                n = len(a)
+                at = np.searchsorted(b, a)
+                at[at == len(b)] = len(b) - 1
+                common_part = b[at] == a
+                tokens = np.concatenate([a[~common_part], a[common_part]])[: n + (-percent * n) // 100 + 1]
+                parts.append(tokens)
+                row.append(np.full(len(tokens), i))
+                place.append(np.arange(len(tokens)))
+                shared.append(np.full(len(tokens), int(common_part.sum())))
+            if parts:
+                kept = batch.select(["hub", "x", "root", "apart", "n"]).take(pa.array(np.concatenate(row)))
+                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(np.concatenate(c).astype(np.uint64).view(np.int64)) for c in (parts, place, shared))], names=[*kept.schema.names, "token", "place", "shared"])
+
+    return members.mapInArrow(run, "hub bigint, x bigint, root bigint, apart boolean, n bigint, token bigint, place bigint, shared bigint")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, x: str, y: str) -> DataFrame:
+    """Adds the full sets of x (mine) and y (other). Only pairs move to the bucketed table; a y of many pairs can be split."""
+    right = sets.join(pairs.select(F.col(y).alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias(y), F.col("members").alias("other"))
+    return pairs.join(sets.select(F.col("id").alias(x), F.col("members").alias("mine")), x).join(right.hint("merge"), y)
+
+
+def _roots(state: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root) after the components that links join are one."""
+    ends = links.join(state.select(F.col("id").alias("x"), F.col("root").alias("rx")), "x").join(state.select(F.col("id").alias("y"), F.col("root").alias("ry")), "y")
+    moved = graph.components(ends.select(F.col("rx").alias("x"), F.col("ry").alias("y")))
+    return common.stash(state.join(moved, F.col("root") == F.col("x"), "left").select("id", F.coalesce("y", "root").alias("root")), "state")
+
+
 def _components(df: DataFrame, rule: Rule, id_col: str, text: str, classes: DataFrame) -> DataFrame:
     """(x, y): the component y of class x, for classes that are joined to a smaller one."""
-    spark = df.sparkSession
-    keyed = classes.select("class", "n", F.explode("keys").alias("bucket"))
+    spark, percent = df.sparkSession, rule.percent
+    keyed = classes.select(F.col("class").alias("id"), "n", F.explode("keys").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     members = common.stash(keyed.join(shared, "bucket"), "members")
-    company = members.groupBy("class").agg(F.sum("held").alias("company"), F.first("n").alias("n"))
-    state = common.stash(company.select(F.col("class").alias("id"), "n", "company", F.col("class").alias("root")), "state")
+    company = members.groupBy("id").agg(F.sum("held").alias("company"))
+    state = common.stash(company.select("id", F.col("id").alias("root")), "state")
     name = f"near_sets_{uuid.uuid4().hex}"
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(state.select("id"), "id", "left_semi")
-    if state.filter("id < -1").isEmpty():
-        made = _sets(docs, rule.words)
-    else:
+    made = _sets(df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(state.select("id"), "id", "left_semi"), rule.words)
+    if not state.filter("id < -1").isEmpty():
         nameless = df.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("id"), F.col(text).alias("text"))
-        made = _sets(docs, rule.words).unionByName(_nameless_sets(nameless, rule.words))
+        made = made.unionByName(_nameless_sets(nameless, rule.words))
     made.write.bucketBy(BUCKETS, "id").sortBy("id").format("parquet").saveAsTable(name)
-    low, high, first = 0, PIVOTS, True
+    sets = spark.table(name)
     try:
-        while True:
-            here = members.select("bucket", F.col("class").alias("id"), "held").join(state, "id")
-            alive = here.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("held").alias("held_"), F.max(F.struct("company", "id")).alias("best")).filter("a <> b")
-            alive = common.stash(alive.select("bucket", "best.*", F.col("held_").alias("size")).withColumnRenamed("id", "best_id"), "alive")
-            widest = alive.agg(F.max("size")).first()[0]
-            if widest is None or low >= widest:
-                common.drop_stash(alive)
-                break
-            here = here.join(alive.select("bucket", F.col("best_id"), F.col("company").alias("best_company")), "bucket")
-            if first:
-                best = F.max(F.struct("best_company", "best_id")).alias("best")
-                pairs = here.filter("id <> best_id").groupBy("id").agg(best).select(F.col("id").alias("x"), F.col("best.best_id").alias("y"))
-                sizes = state.select(F.col("id").alias("y"), F.col("n").alias("ny"))
-                pairs = pairs.join(state.select(F.col("id").alias("x"), F.col("n").alias("nx")), "x").join(sizes, "y")
-            else:
-                turn = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-                here = here.select("bucket", "id", "n", "root", turn.alias("turn"), (F.col("held") * turn).alias("place"))
-                pivots = here.filter((F.col("place") >= low) & (F.col("place") < high)).select("bucket", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("root_y"), F.col("turn").alias("turn_y"))
-                pairs = here.join(pivots, "bucket").filter("root <> root_y AND (turn > turn_y OR (turn = turn_y AND id > y))").select(F.col("id").alias("x"), "y", F.col("n").alias("nx"), "ny")
-            pairs = pairs.filter(F.lit(100) * F.least("nx", "ny") >= F.lit(rule.percent) * F.greatest("nx", "ny")).select("x", "y").distinct()
-            pairs = common.stash(pairs, "pairs")
-            sets = spark.table(name)
-            right = sets.join(pairs.select(F.col("y").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("y"), F.col("members").alias("right"))
-            both = pairs.join(sets.select(F.col("id").alias("x"), F.col("members").alias("left")), "x").join(right.hint("merge"), "y")
-            links = common.stash(_linked(both.select("x", "y", "left", "right"), rule.percent), "linked")
-            by_root = links.join(state.select(F.col("id").alias("x"), F.col("root").alias("rx")), "x").join(state.select(F.col("id").alias("y"), F.col("root").alias("ry")), "y")
-            moved = graph.components(by_root.select(F.col("rx").alias("x"), F.col("ry").alias("y")))
-            after = state.join(moved, F.col("root") == F.col("x"), "left").select("id", "n", "company", F.coalesce("y", "root").alias("root"))
-            after = common.stash(after, "state")
-            common.drop_stash(state, alive, pairs, links, moved)
-            state = after
-            if first:
-                first = False
-            else:
-                low, high = high, high * GROWTH
+        hubs = members.join(company, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "n"), F.struct("company", "id")).alias("hub"))
+        pairs = members.join(hubs.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "bucket").filter("id <> hub")
+        pairs = common.stash(pairs.select("hub", F.col("id").alias("x"), "n", "hub_n").distinct(), "pairs")
+        similar_size = F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")
+        first = pairs.filter(similar_size).select("x", F.col("hub").alias("y"))
+        links = common.stash(_linked(_with_sets(first, sets, "x", "y").select("x", "y", "mine", "other"), percent), "linked")
+        before, state = state, _roots(state, links)
+
+        rooted = pairs.select("hub", "x", "n").join(state.select(F.col("id").alias("x"), "root"), "x").join(state.select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub")
+        rooted = rooted.select("hub", "x", "n", "root", (F.col("root") != F.col("hub_root")).alias("apart"))
+        open_hubs = rooted.groupBy("hub").agg(F.count(F.lit(1)).alias("held"), F.max("apart").alias("any_apart"), F.min("root").alias("a"), F.max("root").alias("b")).filter("any_apart AND held > 1 AND a <> b")
+        rooted = common.stash(rooted.join(open_hubs.select("hub"), "hub", "left_semi"), "open")
+        tokens = common.stash(_prefixes(_with_sets(rooted, sets, "x", "hub"), percent), "tokens")
+        left = tokens.filter("apart")
+        right = tokens.select("hub", "token", *(F.col(c).alias(f"{c}_y") for c in ("x", "root", "apart", "n", "place", "shared")))
+        rest = F.least(F.col("n") - F.col("place"), F.col("n_y") - F.col("place_y"))
+        most = F.least("shared", "shared_y") + F.least(F.col("n") - F.col("shared"), F.col("n_y") - F.col("shared_y"))
+        enough = F.lit(100 + percent) * F.least(rest, most) >= F.lit(percent) * (F.col("n") + F.col("n_y"))
+        met = left.join(right, ["hub", "token"]).filter((F.col("root") != F.col("root_y")) & (~F.col("apart_y") | (F.col("x") < F.col("x_y"))) & enough)
+        second = common.stash(met.select(F.least("x", "x_y").alias("x"), F.greatest("x", "x_y").alias("y")).distinct(), "pairs")
+        more = common.stash(_linked(_with_sets(second, sets, "x", "y").select("x", "y", "mine", "other"), percent), "linked")
+        between, state = state, _roots(state, more)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+    common.drop_stash(members, pairs, links, rooted, tokens, second, more, before, between)
     return state.filter("id <> root").select(F.col("id").alias("x"), F.col("root").alias("y"))
 
 
