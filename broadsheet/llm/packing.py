@@ -1,6 +1,6 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
-A document is its ids by a tokenizers vocabulary file and then an end id; only documents longer than a sequence are cut, into
+A document is its ids by a vocabulary file of the tokenizers library and then an end id; only documents longer than a sequence are cut, into
 full pieces, with the remainder first. Pieces are dealt by a hash into groups of about GROUP pieces, and each group is packed
 best-fit decreasing: the longest piece first, each into the open sequence with the least room that holds it, which a segment
 tree over the remaining capacities finds in logarithmic time. A group ends with few sequences that are not full, so the
@@ -9,8 +9,7 @@ number of sequences is that of one packing of all pieces plus a few per GROUP pi
 Pieces are sorted inside a group by length, id and number, so a task that runs again gives the same sequences.
 
 Defined results: null text counts as empty, and an empty document is the end id alone. Repeated rows are packed each. No rows give no
-sequences. Special tokens' strings in a text get their special ids, as the tokenizer file has it. Words that a worker
-remembers are bounded by CACHE_WORDS.
+sequences. Special tokens' strings in a text get their special ids, as the tokenizer file has it.
 """
 
 from __future__ import annotations
@@ -30,60 +29,42 @@ from . import common
 LENGTH = 2048
 END = 0
 GROUP = 250_000
-CACHE_WORDS = 300_000
+#: Characters whose pieces go into one batch (a longer single text goes alone).
 CHUNK_CHARS = 2_000_000
 
 
-class Words:
-    """A tokenizers vocabulary that remembers the ids of words; one per worker process and file.
+class Ids:
+    """Ids as a byte-level tokenizers file gives them; one per worker process and file.
 
-    Ids of a text are those of its words: the file's pre-tokenizer splits by `pattern` and its merges never cross words.
+    The file's vocabulary and special tokens are read into tiktoken, which contracts the same pairs in the same order at a third of the time.
     """
 
-    held: dict[str, Words] = {}
+    held: dict[str, Ids] = {}
 
     def __init__(self, path: str, pattern: str):
         import json
-        import re
 
-        import regex
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.find = regex.compile(pattern).findall
         with open(path, encoding="utf-8") as f:
-            special = {x["content"]: x["id"] for x in json.load(f).get("added_tokens", [])}
-        self.special = {k: int(v).to_bytes(4, "little") for k, v in special.items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
-        self.words: dict[str, bytes] = {}
+            file = json.load(f)
+        # The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in plain]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+        special = {x["content"]: x["id"] for x in file.get("added_tokens", [])}
+        ranks = {bytes(byte[c] for c in word): i for word, i in file["model"]["vocab"].items() if word not in special}
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     @classmethod
-    def of(cls, path: str, pattern: str) -> Words:
+    def of(cls, path: str, pattern: str) -> Ids:
         if path not in cls.held:
             cls.held[path] = cls(path, pattern)
         return cls.held[path]
 
-    def _split(self, text: str) -> list[str]:
-        if self.cut is None or not any(s in text for s in self.special):
-            return self.find(text)
-        return [w for part in self.cut(text) for w in ([part] if part in self.special else self.find(part))]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self._split(t) for t in texts]
-        new = set()
-        for words in split:
-            new.update(words)
-        if len(new) + len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if not self.words:
-            self.words.update(self.special)
-        new = list(new.difference(self.words))
-        if new:
-            for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.words[word] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def __call__(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit integers."""
+        return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4").tobytes()
 
 
 def cut(n: int, length: int) -> Iterator[tuple[int, int]]:
@@ -109,16 +90,13 @@ def pieces(df: DataFrame, path: str, pattern: str, length: int = LENGTH, end: in
     schema = T.StructType([*(df.schema[c] for c in keep), *spark_own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, last = Words.of(path, pattern), int(end).to_bytes(4, "little")
+        ids, last = Ids.of(path, pattern), int(end).to_bytes(4, "little")
         for batch in batches:
             kept = batch.select(keep)
             for first, texts in common.chunks(batch.column(text), CHUNK_CHARS):
                 made, row = {name: [] for name, _ in own}, []
-                for i, raw in enumerate(words.encode(texts), first):
-                    raw += last
+                for i, t in enumerate(texts, first):
+                    raw = ids(t) + last
                     for k, (start, n) in enumerate(cut(len(raw) // 4, length)):
                         part = raw[4 * start : 4 * (start + n)]
                         row.append(i)
