@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..functions.geometry import holds
 from ..schemas import ADJACENT, CROSS, HEADLINE_CLASSES, PAIR_COLUMNS, SAME, TEXT_CLASSES
-from .layout import reference_widths
 
 # Fixed values.
 MOST_GAP = 450.0
@@ -18,7 +17,7 @@ LANE_OVERLAP, LANE_CENTER = 0.80, 0.15
 HEADLINE_OVERLAP, HEADLINE_CONFIDENCE = 0.30, 0.30
 HEADER_TALL, HEADER_LESS_TALL, HEADER_WIDE = 0.018, 0.012, 0.20
 
-_GEOMETRY = ("block_id", "class_name", "x1", "y1", "x2", "y2", "center_x", "center_y", "column_id", "reading_order_rank")
+_GEOMETRY = ("block_id", "class_name", "x1", "y1", "x2", "y2", "center_x", "center_y", "column_id", "reading_order_rank", "text_width")
 
 
 def is_boundary() -> Column:
@@ -65,14 +64,13 @@ def uncut(pairs: DataFrame, layout: DataFrame, blocked: bool = False) -> DataFra
     return some.join(lines, cut, "left_semi" if blocked else "left_anti").drop("upper", "lower", "can_be_cut")
 
 
-def buckets(pairs: DataFrame, widths: DataFrame) -> DataFrame:
+def buckets(pairs: DataFrame) -> DataFrame:
     """Adds column_delta, center_distance and source, the kind of candidate; pairs of no kind go. All of it is the same from either side."""
-    some = pairs.join(widths.select("page_key", "text_width"), "page_key")
     a, b = F.col("a"), F.col("b")
     delta = F.abs(a["column_id"] - b["column_id"])
     overlap = geometry.overlap_ratio(a["x1"], a["x2"], b["x1"], b["x2"])
     center = F.abs(b["center_x"] - a["center_x"])
-    width = F.col("text_width")
+    width = a["text_width"]
     same = holds(overlap >= SAME_OVERLAP) | holds(center <= width * SAME_CENTER)
     near = holds(geometry.gap(a["x1"], a["x2"], b["x1"], b["x2"]) <= width * NEAR_GAP)
     lane = holds(overlap >= LANE_OVERLAP) & holds(center <= width * LANE_CENTER)
@@ -80,7 +78,7 @@ def buckets(pairs: DataFrame, widths: DataFrame) -> DataFrame:
     cross = kinds[0][0] | kinds[0][1] | (kinds[1][0] & kinds[1][1])
     source = F.when((delta == 0) & same, SAME).when((delta == 0) & near, ADJACENT).when((delta == 1) & lane, SAME).when(delta == 1, ADJACENT).when(cross, CROSS)
     distance = F.hypot(b["center_x"] - a["center_x"], b["center_y"] - a["center_y"])
-    return some.withColumns({"column_delta": delta, "center_distance": distance, "source": source}).filter("source IS NOT NULL").drop("text_width")
+    return pairs.withColumns({"column_delta": delta, "center_distance": distance, "source": source}).filter("source IS NOT NULL")
 
 
 def top(pairs: DataFrame, limits: dict[str, int] = TOP) -> DataFrame:
@@ -133,5 +131,5 @@ def describe(kept: DataFrame, layout: DataFrame) -> DataFrame:
 
 def pairs(layout: DataFrame, limits: dict[str, int] = TOP) -> DataFrame:
     """Candidate pairs of annotated blocks."""
-    found = buckets(uncut(near_pairs(layout), layout), reference_widths(layout))
+    found = buckets(uncut(near_pairs(layout), layout))
     return describe(top(found, limits), layout)

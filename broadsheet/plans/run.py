@@ -41,12 +41,18 @@ class Run:
 
 
 def run(found: DataFrame, config: Config = Config()) -> Run:
-    """found: detected blocks with `ord`, and with ocr_text where text features are wanted. Lazy: nothing runs before a table is read."""
-    kept = blocks.suppress(blocks.prepare(found))
+    """found: detected blocks with `ord`, and with ocr_text where text features are wanted.
+
+    Lazy: nothing runs before a table is read. Annotated blocks and scored pairs, which several tables need, are persisted.
+    """
+    texts = [c for c in ("ocr_text",) if c in found.columns]
+    kept = blocks.suppress(blocks.prepare(found.drop(*texts)))
     columns = layout.columns(kept)
-    placed = layout.rank(layout.assign(kept, columns))
+    placed = layout.annotate(kept, columns).persist()
     pairs = candidates.pairs(placed, config.top)
+    if texts:
+        placed = placed.join(found.select("ord", *texts), "ord")
     ready = pair_text.merge(pairs, pair_text.features(pairs, placed, config.sequence)) if config.text and "ocr_text" in found.columns else pairs
-    scored = scoring.score(ready, config.scorer, config.threshold)
+    scored = scoring.score(ready, config.scorer, config.threshold).persist()
     clusters, scored = clustering.cluster(placed, scored, config.method, config.validate, config.validation, config.resolution, config.seed)
     return Run(tables.pages_of(found), placed, columns, pairs, scored, clusters)
