@@ -80,7 +80,8 @@ class Model:
         return np.hstack([np.cos(z @ self.weights + self.phase) * math.sqrt(2 / len(self.phase)), np.ones((len(x), 1))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.interp(self.features(x) @ self.solution, self.knots, self.values)
+        # Sums of a product depend on a row's place in the batch in the last digits; equal texts shall have equal scores.
+        return np.interp(np.round(self.features(x) @ self.solution, 9), self.knots, self.values)
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
