@@ -17,8 +17,9 @@ def distinct_blocks(blocks: DataFrame, order: str = "ord") -> DataFrame:
 
 def term_counts(blocks: DataFrame, bigrams: bool = True, most: int | None = MOST_TERMS) -> DataFrame:
     """(newspaper_id, block_id, term, n). most: of a newspaper's terms, the most frequent ones, the first by alphabet of equals, stay."""
-    words = X.terms("ocr_text")
-    found = blocks.select("newspaper_id", "block_id", F.explode(X.with_bigrams(words) if bigrams else words).alias("term"))
+    # The words get a column of their own first: a lambda would work them out again for each word.
+    words = blocks.select("newspaper_id", "block_id", F.explode(F.array(X.terms("ocr_text"))).alias("words"))
+    found = words.select("newspaper_id", "block_id", F.explode(X.with_bigrams(F.col("words")) if bigrams else "words").alias("term"))
     counts = found.groupBy("newspaper_id", "block_id", "term").agg(F.count(F.lit(1)).alias("n"))
     if most is None:
         return counts

@@ -46,10 +46,9 @@ def _geometry_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.annotate(_kept(spark, sf_dir)).persist()
 
 
-def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotated blocks with their texts, which take no part in the layout."""
-    texts = _detected(spark, sf_dir).select("ord", "ocr_text")
-    return _geometry_layout(spark, sf_dir).join(texts, "ord")
+def _texts(spark: SparkSession, sf_dir: str, placed: DataFrame) -> DataFrame:
+    """The annotated blocks' texts, which take no part in the layout."""
+    return placed.select("newspaper_id", "block_id", "ord").join(_detected(spark, sf_dir).select("ord", "ocr_text"), "ord")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +185,8 @@ for _name, _make, _make_sql in (("text_tokens", X.tokens, O.tokens), ("text_keyw
 
 
 def _sides(spark, sf_dir, make) -> DataFrame:
-    placed = _layout(spark, sf_dir)
-    own = placed.select("block_id", make("ocr_text").alias("found"))
+    placed = _geometry_layout(spark, sf_dir)
+    own = _texts(spark, sf_dir, placed).select("block_id", make("ocr_text").alias("found"))
     sides = [own.select(F.col("block_id").alias(f"{s}_block_id"), F.col("found").alias(s)) for s in ("left", "right")]
     return candidates.pairs(placed).select("pair_id", "left_block_id", "right_block_id").join(sides[0], "left_block_id").join(sides[1], "right_block_id")
 
@@ -208,19 +207,20 @@ def _(spark, sf_dir):
 
 @_query("tfidf_weights", O.after("layout", "SELECT newspaper_id, block_id, term, round(weight, 6) AS weight FROM x", *O.terms(False, None)))
 def _(spark, sf_dir):
-    return pair_text.tfidf(_layout(spark, sf_dir), bigrams=False, most=None).select("newspaper_id", "block_id", "term", r6("weight"))
+    return pair_text.tfidf(_texts(spark, sf_dir, _geometry_layout(spark, sf_dir)), bigrams=False, most=None).select("newspaper_id", "block_id", "term", r6("weight"))
 
 
 @_query("tfidf_cosine", O.after("pairs", "SELECT pair_id, round(sum(a.weight * b.weight), 6) AS ocr_cosine_similarity FROM pr JOIN x a ON a.block_id = left_block_id JOIN x b ON b.block_id = right_block_id AND a.term = b.term GROUP BY 1", *O.terms(True, pair_text.MOST_TERMS)))
 def _(spark, sf_dir):
-    placed = _layout(spark, sf_dir)
-    return pair_text.cosines(candidates.pairs(placed), pair_text.tfidf(placed)).select("pair_id", r6("ocr_cosine_similarity"))
+    placed = _geometry_layout(spark, sf_dir)
+    return pair_text.cosines(candidates.pairs(placed), pair_text.tfidf(_texts(spark, sf_dir, placed))).select("pair_id", r6("ocr_cosine_similarity"))
 
 
 @_query("sequence_ratio")
 def _(spark, sf_dir):
-    placed = _layout(spark, sf_dir)
-    texts = [placed.select(F.col("block_id").alias(f"{s}_block_id"), F.col("ocr_text").alias(s)) for s in ("left", "right")]
+    placed = _geometry_layout(spark, sf_dir)
+    blocks_text = _texts(spark, sf_dir, placed)
+    texts = [blocks_text.select(F.col("block_id").alias(f"{s}_block_id"), F.col("ocr_text").alias(s)) for s in ("left", "right")]
     both = candidates.pairs(placed).select("pair_id", "left_block_id", "right_block_id").join(texts[0], "left_block_id").join(texts[1], "right_block_id")
     # Long texts take long and come by page: spread them.
     return both.repartition("pair_id").select("pair_id", F.round(X.sequence_ratio("left", "right"), 6).alias("text_similarity"))
