@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -64,6 +65,12 @@ def drop_stash(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done with, instead of whenever the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
     """Size of an input table through Hadoop's file system, so any store that Spark reads will do."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
