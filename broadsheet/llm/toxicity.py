@@ -109,6 +109,11 @@ def parts(word: str) -> set[str]:
     return {word[:k] for k in range(ORDER - 1, 2 * ORDER + 2) if k <= len(word) and word[0] == BEGIN} | {word[i : i + k] for k in (ORDER, ORDER + 1) for i in range(len(word) - k + 1)}
 
 
+def gapped(word: str) -> list[str]:
+    """A word with a character put in at two places, as insults are hidden."""
+    return [word[:k] + c + word[k:] for k in sorted({3, len(word) // 2 + 1}) for c in "-x" if k < len(word)]
+
+
 @lru_cache(64)
 def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
     places = np.array(list(combinations(range(n), ORDER)), dtype=np.int64)
@@ -340,6 +345,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", learn=None, i
 
     found = wholes.filter("toxic > 0 AND clean = 0").select("part", "toxic").mapInArrow(suspect, "part string, toxic bigint, odds double").filter("odds > 0")
     positive = {r.part: r.toxic for r in found.orderBy(F.desc(F.col("odds") * F.least("toxic", F.lit(20))), "part").limit(MAX_WORDS).collect()}
+    # The first of them hidden as well, so the machine learns to see through a gap.
+    positive |= {v: 1 for w in list(positive)[: MAX_WORDS // 8] for v in gapped(w) if v not in positive and len(v) <= LONGEST}
     clean = wholes.filter("clean > 0").select("part", "clean")
     negative = {r.part: r.clean for r in clean.orderBy(F.desc("clean"), "part").limit(MAX_WORDS // 2).collect()}
     negative |= {r.part: r.clean for r in clean.orderBy(F.xxhash64("part"), "part").limit(MAX_WORDS).collect()}
