@@ -42,20 +42,19 @@ def suppress(blocks: DataFrame) -> DataFrame:
     return kept.select(F.inline("kept"))
 
 
-def rekey(blocks: DataFrame, pages: DataFrame, newspaper_id: str | None = None) -> DataFrame:
-    """Blocks of another run on these pages: numbered anew by image in the order of `ord`, with the pages' attributes, then suppressed.
+def rekey(blocks: DataFrame, pages: DataFrame, newspaper_id: str | Column | None = None) -> DataFrame:
+    """Blocks of other runs on these pages: numbered anew by newspaper and image in the order of `ord`, with the pages' attributes, then suppressed.
 
-    newspaper_id: of the new blocks; without one, that of the first row.
+    pages: their newspaper_id and image_id are those of the blocks. newspaper_id: of the new blocks, a text for one newspaper's blocks or, for those of
+    several, an expression that keeps them apart; without one, each newspaper's own.
     """
     attributes = ["page_number", "page_filename", "image_path", "page_width", "page_height"]
-    own = blocks.drop(*attributes, "image_path_in_zip", "block_id").join(F.broadcast(pages.select("image_id", *attributes)), "image_id")
-    if newspaper_id is None:
-        first = own.agg(F.min_by("newspaper_id", "ord").alias("newspaper_id"))
-        own = own.withColumn("newspaper_id", first.scalar())
-    else:
+    source = ["newspaper_id", "image_id"]
+    own = blocks.drop(*attributes, "image_path_in_zip", "block_id").join(pages.select(*source, *attributes), source)
+    own = own.withColumn("number", F.row_number().over(Window.partitionBy(*source).orderBy("ord")) - 1)
+    if newspaper_id is not None:
         own = own.withColumn("newspaper_id", F.lit(newspaper_id))
-    number = F.row_number().over(Window.partitionBy("image_id").orderBy("ord")) - 1
-    named = own.withColumn("block_id", F.concat_ws("__", "newspaper_id", F.col("image_id").cast("string"), number.cast("string")))
+    named = own.withColumn("block_id", F.concat_ws("__", "newspaper_id", F.col("image_id").cast("string"), F.col("number").cast("string"))).drop("number")
     return suppress(named.withColumn("image_path_in_zip", F.col("page_filename")))
 
 

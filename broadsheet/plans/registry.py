@@ -440,6 +440,22 @@ def _(spark, sf_dir):
     return blocks.rekey(some, tables.pages_of(some), "cached").select("block_id", "class_name", "x1", "y1", "page_filename")
 
 
+_REKEY_ALL = O.after(
+    "blocks",
+    "SELECT concat(newspaper_id, '__', image_id, '__', nr) AS block_id, class_name, x1, y1, page_filename FROM n",
+    "q AS (SELECT * REPLACE (concat('cached_', newspaper_id) AS newspaper_id), row_number() OVER (PARTITION BY newspaper_id, image_id ORDER BY ord) - 1 AS nr FROM blocks)",
+    "p2 AS (SELECT *, concat_ws('||', newspaper_id, CAST(image_id AS VARCHAR), page_filename) AS page_key FROM q)",
+    O.STEPS["nms"].replace("FROM p)", "FROM p2)").replace("SELECT p.* FROM p JOIN", "SELECT p2.* FROM p2 JOIN"),
+)
+
+
+@_query("cached_blocks_rekey_all", _REKEY_ALL)
+def _(spark, sf_dir):
+    """All newspapers' blocks as other documents'."""
+    some = _detected(spark, sf_dir).drop("bbox", "ocr_text")
+    return blocks.rekey(some, tables.pages_of(some), F.concat(F.lit("cached_"), "newspaper_id")).select("block_id", "class_name", "x1", "y1", "page_filename")
+
+
 @_query(
     "classifier_metrics",
     "SELECT tn, fp, fn, tp, n AS rows, (tn + tp) / n AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM (SELECT count(*) AS n, count(*) FILTER (quality = 0 AND p = 0) AS tn, count(*) FILTER (quality = 0 AND p = 1) AS fp, count(*) FILTER (quality = 1 AND p = 0) AS fn, count(*) FILTER (quality = 1 AND p = 1) AS tp FROM (SELECT quality, CASE WHEN n_chars >= 400 THEN 1 ELSE 0 END AS p FROM labels JOIN documents USING (doc_id)))",

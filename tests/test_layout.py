@@ -12,6 +12,7 @@ from broadsheet.operators import blocks as B
 from broadsheet.operators import candidates as C
 from broadsheet.operators import clustering as K
 from broadsheet.operators import layout as L
+from broadsheet.plans import registry
 from broadsheet.plans.run import Config, run
 from broadsheet.sources import tables
 
@@ -217,6 +218,32 @@ def test_rekey(found):
     assert got and {r.image_id for r in got} == {0, 1} and all(r.block_id.startswith(f"new__{r.image_id}__") for r in got)
 
 
+def test_rekey_of_several_newspapers(spark):
+    rng = random.Random(9)
+    rows = [list(r) for name in ("n1", "n2") for k in (0, 1) for r in page(rng, k, 12) if not r[7].endswith("b")]
+    for i, r in enumerate(rows):
+        r[0] = "n1" if i < len(rows) // 2 else "n2"
+        r[3] = r[4] = f"{r[0]}_{r[3]}"
+    df = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
+    new = F.concat(F.lit("new_"), "newspaper_id")
+    both = B.rekey(df, tables.pages_of(df), new)
+    ids = [r.block_id for r in both.collect()]
+    alone = [r.block_id for n in ("n1", "n2") for r in B.rekey(df.filter(F.col("newspaper_id") == n), tables.pages_of(df), f"new_{n}").collect()]
+    assert sorted(ids) == sorted(alone) and len({*ids}) == len(ids) and {i.split("__")[0] for i in ids} == {"new_n1", "new_n2"}
+
+
+@pytest.mark.parametrize("name", ["cached_blocks_rekey", "cached_blocks_rekey_all"])
+def test_rekey_queries(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.sql(registry.oracle_sql()[name]).fetchall())
+    got = sorted(map(tuple, registry.queries()[name](spark, sf).collect()))
+    assert got == want and (name == "cached_blocks_rekey" or len({r[0].split("__")[0] for r in got}) == 2)
+
+
 # Clusters.
 
 
