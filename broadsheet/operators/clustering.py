@@ -67,7 +67,8 @@ class Components:
 
 def _rows(blocks: DataFrame, scored: DataFrame, tokens: bool = False) -> DataFrame:
     """Blocks and pairs of pages in one table, so that a page's group has both."""
-    edges = scored.select(*PAGE, *((F.col(c) if c in scored.columns else F.lit(None)).cast(t).alias(c) for c, t in _EDGE.items()), F.lit(None).cast("string").alias("block_id"), F.lit(None).cast("array<string>").alias("tokens"))
+    # Pairs without text features count as pairs of unlike texts.
+    edges = scored.select(*PAGE, *((F.col(c) if c in scored.columns else F.lit(0.0 if c == "text_similarity" else None)).cast(t).alias(c) for c, t in _EDGE.items()), F.lit(None).cast("string").alias("block_id"), F.lit(None).cast("array<string>").alias("tokens"))
     words = X.cluster_tokens("ocr_text") if tokens and "ocr_text" in blocks.columns else F.lit(None)
     vertices = blocks.select(*PAGE, *(F.lit(None).cast(t).alias(c) for c, t in _EDGE.items()), "block_id", words.cast("array<string>").alias("tokens"))
     return vertices.unionByName(edges)

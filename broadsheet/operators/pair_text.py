@@ -67,6 +67,8 @@ def features(pairs: DataFrame, blocks: DataFrame, sequence: bool = True) -> Data
 
     cosine = cosines(pairs, tfidf(blocks))
     similarity = X.sequence_ratio("left_text", "right_text") if sequence else F.lit(0.0)
+    # Long texts take long and come by page: spread them.
+    both = both.repartition("pair_id") if sequence else both
     return both.join(cosine, "pair_id", "left").select(
         "pair_id",
         F.coalesce("ocr_cosine_similarity", F.lit(0.0)).alias("ocr_cosine_similarity"),

@@ -59,8 +59,9 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(_pairs(spark, sf_dir))
 
 
-def _run(spark: SparkSession, sf_dir: str, **config):
-    return run(_detected(spark, sf_dir).drop("bbox", *([] if config.get("validate") else ["ocr_text"])), Config(text=False, **config))
+def _run(spark: SparkSession, sf_dir: str, text: bool = False, **config):
+    """text: pairs are scored with their text features, else by geometry alone, as the SQL of the queries that have one does."""
+    return run(_detected(spark, sf_dir).drop("bbox", *([] if text else ["ocr_text"])), Config(text=text, **config))
 
 
 def r6(name: str) -> Column:
@@ -265,17 +266,17 @@ def _(spark, sf_dir):
 
 @_query("clusters_validated")
 def _(spark, sf_dir):
-    return _run(spark, sf_dir, validate=True).clusters.select(*_CLUSTER.split(", "))
+    return _run(spark, sf_dir, text=True, validate=True).clusters.select(*_CLUSTER.split(", "))
 
 
 @_query("cluster_audit")
 def _(spark, sf_dir):
-    return _run(spark, sf_dir, validate=True).scored.select("pair_id", "probability_same_article", "cluster_validation_status", F.round("cluster_validation_score", 6).alias("cluster_validation_score"), "cluster_validation_reason")
+    return _run(spark, sf_dir, text=True, validate=True).scored.select("pair_id", "probability_same_article", "cluster_validation_status", F.round("cluster_validation_score", 6).alias("cluster_validation_score"), "cluster_validation_reason")
 
 
 @_query("clusters_leiden")
 def _(spark, sf_dir):
-    return _run(spark, sf_dir, method="leiden").clusters.select(*_CLUSTER.split(", "))
+    return _run(spark, sf_dir, text=True, method="leiden").clusters.select(*_CLUSTER.split(", "))
 
 
 _SAME = "(candidate_sources = 'same_column_window' OR column_relation = 'same_column')"

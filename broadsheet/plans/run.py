@@ -16,7 +16,7 @@ class Config:
     threshold: float = scoring.DEFAULT_THRESHOLD
     scorer: scoring.Scorer | None = None
     text: bool = True
-    sequence: bool = False
+    sequence: bool = True
     method: str = "union_find"
     validate: bool = False
     validation: clustering.Validation = clustering.Validation()
@@ -43,16 +43,27 @@ class Run:
 def run(found: DataFrame, config: Config = Config()) -> Run:
     """found: detected blocks with `ord`, and with ocr_text where text features are wanted.
 
-    Lazy: nothing runs before a table is read. Annotated blocks and scored pairs, which several tables need, are persisted.
+    Annotated blocks and scored pairs, which several tables need, are persisted. Lazy without text features: nothing runs before a table is read. With them, blocks
+    and pairs are checkpoints (local ones where spark.checkpoint.dir is not set), as the plan with their whole lineage in each feature does not fit a small driver; exchanges before them run at once.
     """
     texts = [c for c in ("ocr_text",) if c in found.columns]
+    with_text = config.text and bool(texts)
+
+    def keep(df: DataFrame) -> DataFrame:
+        df = df.persist()
+        if not with_text:
+            return df
+        shared = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+        return df.checkpoint(eager=False) if shared else df.localCheckpoint(eager=False)
+
     kept = blocks.suppress(blocks.prepare(found.drop(*texts)))
     columns = layout.columns(kept)
-    placed = layout.annotate(kept, columns).persist()
+    placed = keep(layout.annotate(kept, columns))
     pairs = candidates.pairs(placed, config.top)
+    pairs = keep(pairs) if with_text else pairs
     if texts:
         placed = placed.join(found.select("ord", *texts), "ord")
-    ready = pair_text.merge(pairs, pair_text.features(pairs, placed, config.sequence)) if config.text and "ocr_text" in found.columns else pairs
-    scored = scoring.score(ready, config.scorer, config.threshold).persist()
+    ready = pair_text.merge(pairs, pair_text.features(pairs, placed, config.sequence)) if with_text else pairs
+    scored = keep(scoring.score(ready, config.scorer, config.threshold))
     clusters, scored = clustering.cluster(placed, scored, config.method, config.validate, config.validation, config.resolution, config.seed)
     return Run(tables.pages_of(found), placed, columns, pairs, scored, clusters)

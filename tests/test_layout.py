@@ -204,6 +204,14 @@ def test_run_with_text_and_validation(found):
     assert counts.blocks == done.blocks.count() and counts.pages == 6
 
 
+def test_run_scores_texts(found, monkeypatch):
+    """The audit's pairs have their text features."""
+    _, df = found
+    monkeypatch.setattr(registry, "_detected", lambda spark, sf_dir: df.withColumn("bbox", F.lit(None)))
+    reasons = [r.cluster_validation_reason for r in registry.queries()["cluster_audit"](df.sparkSession, "").collect()]
+    assert any("text_similarity>=0.2=+0.02" in r for r in reasons)
+
+
 def test_empty_run(found):
     _, df = found
     done = run(df.limit(0), Config())
