@@ -163,5 +163,10 @@ def test_lines_odd_rows(docs):
     got = lines.dedup(docs(["x y z", "x y z", "q"], [None, 5, 5])).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == [("5", "q"), ("5", "x y z"), ("None", "")]
     assert lines.dedup(docs([])).count() == 0
+    for ids in ([None, None, None, 5], [7, 7, 7, 5]):
+        # A line of one row is a copy, the others' at its place are not; the last two rows' lines at one place are both compared.
+        texts = ["a b c d e\nown one here", "unlike that line\nk l m n o p q r s t u", "first of all these\nv w x y z k l m n o", "a b c d e\nk l m n o p q r s t\nv w x y z k l m n"]
+        left = {r.text for r in lines.dedup(docs(texts, ids)).collect()}
+        assert left == {"own one here", "unlike that line", "first of all these", texts[3]}
     with pytest.raises(ValueError):
         lines.dedup(docs(["a"]).withColumnRenamed("word", "n_lines"))
