@@ -66,10 +66,10 @@ def reference_widths(blocks: DataFrame) -> DataFrame:
     return with_reference(blocks).select("page_key", "text_width", "column_width", "tier").distinct()
 
 
-def reference_blocks(blocks: DataFrame) -> DataFrame:
-    """The blocks that columns come from, with their pages' figures and the number of different centres."""
+def reference_blocks(figured: DataFrame) -> DataFrame:
+    """The blocks that columns come from, of blocks with their pages' figures; with the number of different centres."""
     centers = F.size(F.collect_set("center_x").over(_page()))
-    return with_reference(blocks).filter("of_reference").withColumn("n_centers", centers)
+    return figured.filter("of_reference").withColumn("n_centers", centers)
 
 
 def islands(reference: DataFrame) -> DataFrame:
@@ -93,14 +93,18 @@ def center_groups(reference: DataFrame) -> DataFrame:
     return made.select("page_key", (F.col("low") - F.col("column_width") / 2).alias("x1"), (F.col("high") + F.col("column_width") / 2).alias("x2"))
 
 
-def columns(blocks: DataFrame) -> DataFrame:
-    """(page_key, column_id, x1, x2, center_x) of each page's columns, numbered from the left; a page without any has one of its width."""
-    reference = reference_blocks(blocks)
+def columns(blocks: DataFrame, figured: DataFrame | None = None) -> DataFrame:
+    """(page_key, column_id, x1, x2, center_x) of each page's columns, numbered from the left; a page without any has one of its width.
+
+    figured: the blocks as with_reference has them, if they are there already.
+    """
+    figured = with_reference(blocks) if figured is None else figured
+    reference = reference_blocks(figured)
     merged = islands(reference)
     split = (F.col("n_islands") <= 1) & (F.col("n_centers") > 1)
     whole = merged.filter(~split).select("page_key", "x1", "x2")
     parts = center_groups(reference).join(merged.filter(split).select("page_key"), "page_key", "left_semi")
-    none = with_reference(blocks).filter("tier = 0").groupBy("page_key").agg(F.lit(0.0).alias("x1"), F.first("wide").alias("x2"))
+    none = figured.filter("tier = 0").groupBy("page_key").agg(F.lit(0.0).alias("x1"), F.first("wide").alias("x2"))
     every = whole.unionByName(parts).unionByName(none)
     number = (F.row_number().over(_page().orderBy("x1", "x2")) - 1).cast("int")
     return every.select("page_key", number.alias("column_id"), "x1", "x2", ((F.col("x1") + F.col("x2")) / 2).alias("center_x"))
@@ -126,6 +130,6 @@ def rank(blocks: DataFrame) -> DataFrame:
 
 def annotate(blocks: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Blocks with their column, their ranks and the page's text_width. found: the pages' columns, if they are there already."""
-    placed = rank(assign(blocks, columns(blocks) if found is None else found))
-    figures = with_reference(placed).drop("wide", "tier", "column_width", "of_reference")
-    return figures
+    figured = with_reference(blocks)
+    placed = assign(figured.drop("wide", "tier", "column_width", "of_reference"), columns(blocks, figured) if found is None else found)
+    return rank(placed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,12 +12,16 @@ from ..functions import text as X
 MOST_TERMS = 50_000
 
 
+def as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 def distinct_blocks(blocks: DataFrame, order: str = "ord") -> DataFrame:
     """One row per block_id, the first by `order`."""
     return blocks.withColumn("_place", F.row_number().over(Window.partitionBy("block_id").orderBy(order))).filter("_place = 1").drop("_place")
 
 
-def term_counts(blocks: DataFrame, bigrams: bool = True, most: int | None = MOST_TERMS) -> DataFrame:
+def term_counts(blocks: DataFrame, bigrams: bool = True, most: int | None = MOST_TERMS, keep: Callable[[DataFrame], DataFrame] = as_is) -> DataFrame:
     """(newspaper_id, block_id, term, n). most: of a newspaper's terms, the most frequent ones, the first by alphabet of equals, stay."""
     # The words get a column of their own first: a lambda would work them out again for each word.
     words = blocks.select("newspaper_id", "block_id", F.explode(F.array(X.terms("ocr_text"))).alias("words"))
@@ -23,18 +29,19 @@ def term_counts(blocks: DataFrame, bigrams: bool = True, most: int | None = MOST
     counts = found.groupBy("newspaper_id", "block_id", "term").agg(F.count(F.lit(1)).alias("n"))
     if most is None:
         return counts
+    counts = keep(counts)
     totals = counts.groupBy("newspaper_id", "term").agg(F.sum("n").alias("total"))
     place = F.row_number().over(Window.partitionBy("newspaper_id").orderBy(F.desc("total"), "term"))
     kept = totals.withColumn("place", place).filter(F.col("place") <= most).select("newspaper_id", "term")
     return counts.join(kept, ["newspaper_id", "term"])
 
 
-def tfidf(blocks: DataFrame, bigrams: bool = True, most: int | None = MOST_TERMS) -> DataFrame:
+def tfidf(blocks: DataFrame, bigrams: bool = True, most: int | None = MOST_TERMS, keep: Callable[[DataFrame], DataFrame] = as_is) -> DataFrame:
     """(newspaper_id, block_id, term, weight): counts by smoothed inverse document frequency, each block's weights of length 1.
 
-    A newspaper's blocks are one corpus, blocks without text included.
+    A newspaper's blocks are one corpus, blocks without text included. keep: writes what is read several times.
     """
-    counts = term_counts(blocks, bigrams, most)
+    counts = keep(term_counts(blocks, bigrams, most, keep))
     size = blocks.groupBy("newspaper_id").agg(F.count(F.lit(1)).alias("blocks"))
     frequency = counts.groupBy("newspaper_id", "term").agg(F.count(F.lit(1)).alias("held"))
     idf = F.log((F.col("blocks") + 1) / (F.col("held") + 1)) + 1
@@ -45,13 +52,15 @@ def tfidf(blocks: DataFrame, bigrams: bool = True, most: int | None = MOST_TERMS
 
 def cosines(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """(pair_id, ocr_cosine_similarity) for pairs that share a term."""
-    left = weights.select(F.col("block_id").alias("left_block_id"), "term", F.col("weight").alias("left_weight"))
-    right = weights.select(F.col("block_id").alias("right_block_id"), "term", F.col("weight").alias("right_weight"))
+    # Terms meet by hashes of 64 bits, which two terms of two blocks share with a probability of 1e-13 or so: these rows are many.
+    hashed = F.xxhash64("term").alias("term")
+    left = weights.select(F.col("block_id").alias("left_block_id"), hashed, F.col("weight").alias("left_weight"))
+    right = weights.select(F.col("block_id").alias("right_block_id"), hashed, F.col("weight").alias("right_weight"))
     met = pairs.select("pair_id", "left_block_id", "right_block_id").join(left, "left_block_id").join(right, ["right_block_id", "term"])
     return met.groupBy("pair_id").agg(F.sum(F.col("left_weight") * F.col("right_weight")).alias("ocr_cosine_similarity"))
 
 
-def features(pairs: DataFrame, blocks: DataFrame, sequence: bool = True) -> DataFrame:
+def features(pairs: DataFrame, blocks: DataFrame, sequence: bool = True, keep: Callable[[DataFrame], DataFrame] = as_is) -> DataFrame:
     """(pair_id, ocr_cosine_similarity, text_similarity, entity_overlap, shared_keywords) of every pair; blocks without a row have empty text.
 
     sequence: without it text_similarity, the one feature that runs in Python, is 0.
@@ -65,7 +74,7 @@ def features(pairs: DataFrame, blocks: DataFrame, sequence: bool = True) -> Data
     def sets(name: str):
         return F.coalesce(f"left_{name}", none), F.coalesce(f"right_{name}", none)
 
-    cosine = cosines(pairs, tfidf(blocks))
+    cosine = cosines(pairs, tfidf(blocks, keep=keep))
     similarity = X.sequence_ratio("left_text", "right_text") if sequence else F.lit(0.0)
     # Long texts take long and come by page: spread them.
     both = both.repartition("pair_id") if sequence else both

@@ -13,6 +13,7 @@ from ..schemas import FEATURES, PAIR_COLUMNS
 from ..sources import sinks, tables
 from . import oracles as O
 from .run import Config, run
+from ..settle import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, tuple[Query, str | None]] = {}
@@ -42,13 +43,17 @@ def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.suppress(_prepared(spark, sf_dir).drop("bbox", "ocr_text"))
 
 
+def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(_kept(spark, sf_dir))
+
+
 def _geometry_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.annotate(_kept(spark, sf_dir)).persist()
+    return settled(layout.annotate(_settled(spark, sf_dir)))
 
 
 def _texts(spark: SparkSession, sf_dir: str, placed: DataFrame) -> DataFrame:
     """The annotated blocks' texts, which take no part in the layout."""
-    return placed.select("newspaper_id", "block_id", "ord").join(_detected(spark, sf_dir).select("ord", "ocr_text"), "ord")
+    return placed.select("newspaper_id", "block_id", "ord").join(_detected(spark, sf_dir).select("block_id", "ord", "ocr_text"), ["block_id", "ord"])
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,17 +92,17 @@ def _(spark, sf_dir):
 
 @_query("layout_reference_width", O.after("ref", "SELECT page_key, round(text_width, 6) AS text_width, round(column_width, 6) AS column_width, CAST(tier AS INT) AS tier FROM w"))
 def _(spark, sf_dir):
-    return layout.reference_widths(_kept(spark, sf_dir)).select("page_key", r6("text_width"), r6("column_width"), "tier")
+    return layout.reference_widths(_settled(spark, sf_dir)).select("page_key", r6("text_width"), r6("column_width"), "tier")
 
 
 @_query("layout_columns", O.after("columns", f"SELECT page_key, column_id, {_sql6(['x1', 'x2', 'center_x'])} FROM c"))
 def _(spark, sf_dir):
-    return layout.columns(_kept(spark, sf_dir)).select("page_key", "column_id", *map(r6, ("x1", "x2", "center_x")))
+    return layout.columns(_settled(spark, sf_dir)).select("page_key", "column_id", *map(r6, ("x1", "x2", "center_x")))
 
 
 @_query("layout_center_split", O.after("columns", f"SELECT page_key, {_sql6(['x1', 'x2'])} FROM g5"))
 def _(spark, sf_dir):
-    return layout.center_groups(layout.reference_blocks(_kept(spark, sf_dir))).select("page_key", r6("x1"), r6("x2"))
+    return layout.center_groups(layout.reference_blocks(layout.with_reference(_settled(spark, sf_dir)))).select("page_key", r6("x1"), r6("x2"))
 
 
 @_query("column_assign", O.after("layout", "SELECT block_id, column_id FROM l"))
@@ -208,13 +213,13 @@ def _(spark, sf_dir):
 
 @_query("tfidf_weights", O.after("layout", "SELECT newspaper_id, block_id, term, round(weight, 6) AS weight FROM x", *O.terms(False, None)))
 def _(spark, sf_dir):
-    return pair_text.tfidf(_texts(spark, sf_dir, _geometry_layout(spark, sf_dir)), bigrams=False, most=None).select("newspaper_id", "block_id", "term", r6("weight"))
+    return pair_text.tfidf(_texts(spark, sf_dir, _geometry_layout(spark, sf_dir)), bigrams=False, most=None, keep=settled).select("newspaper_id", "block_id", "term", r6("weight"))
 
 
 @_query("tfidf_cosine", O.after("pairs", "SELECT pair_id, round(sum(a.weight * b.weight), 6) AS ocr_cosine_similarity FROM pr JOIN x a ON a.block_id = left_block_id JOIN x b ON b.block_id = right_block_id AND a.term = b.term GROUP BY 1", *O.terms(True, pair_text.MOST_TERMS)))
 def _(spark, sf_dir):
     placed = _geometry_layout(spark, sf_dir)
-    return pair_text.cosines(candidates.pairs(placed), pair_text.tfidf(_texts(spark, sf_dir, placed))).select("pair_id", r6("ocr_cosine_similarity"))
+    return pair_text.cosines(candidates.pairs(placed), pair_text.tfidf(_texts(spark, sf_dir, placed), keep=settled)).select("pair_id", r6("ocr_cosine_similarity"))
 
 
 @_query("sequence_ratio")
@@ -426,22 +431,6 @@ def _(spark, sf_dir):
 
 
 _REKEY = O.after(
-    "blocks",
-    "SELECT concat('cached__', image_id, '__', nr) AS block_id, class_name, x1, y1, page_filename FROM n",
-    "q AS (SELECT * REPLACE ('cached' AS newspaper_id), row_number() OVER (PARTITION BY image_id ORDER BY ord) - 1 AS nr FROM blocks WHERE newspaper_id = 'np_0')",
-    "p2 AS (SELECT *, concat_ws('||', newspaper_id, CAST(image_id AS VARCHAR), page_filename) AS page_key FROM q)",
-    O.STEPS["nms"].replace("FROM p)", "FROM p2)").replace("SELECT p.* FROM p JOIN", "SELECT p2.* FROM p2 JOIN"),
-)
-
-
-@_query("cached_blocks_rekey", _REKEY)
-def _(spark, sf_dir):
-    """The first newspaper's blocks as another document's."""
-    some = _detected(spark, sf_dir).drop("bbox", "ocr_text").filter("newspaper_id = 'np_0'")
-    return blocks.rekey(some, tables.pages_of(some), "cached").select("block_id", "class_name", "x1", "y1", "page_filename")
-
-
-_REKEY_ALL = O.after(
     "blocks",
     "SELECT concat(newspaper_id, '__', image_id, '__', nr) AS block_id, class_name, x1, y1, page_filename FROM n",
     "q AS (SELECT * REPLACE (concat('cached_', newspaper_id) AS newspaper_id), row_number() OVER (PARTITION BY newspaper_id, image_id ORDER BY ord) - 1 AS nr FROM blocks)",
@@ -450,7 +439,7 @@ _REKEY_ALL = O.after(
 )
 
 
-@_query("cached_blocks_rekey_all", _REKEY_ALL)
+@_query("cached_blocks_rekey", _REKEY)
 def _(spark, sf_dir):
     """All newspapers' blocks as other documents'."""
     some = _detected(spark, sf_dir).drop("bbox", "ocr_text")

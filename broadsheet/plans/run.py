@@ -7,14 +7,26 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..operators import articles, blocks, candidates, clustering, layout, pair_text, scoring
+from ..schemas import ADJACENT, CROSS, SAME
 from ..sources import tables
+from ..sources.store import Request
+from ..settle import settled
 
 
 @dataclass(frozen=True)
 class Config:
     top: dict[str, int] = field(default_factory=lambda: dict(candidates.TOP))
-    threshold: float = scoring.DEFAULT_THRESHOLD
+    #: Without one, that of the metrics file, or the default.
+    threshold: float | None = None
     scorer: scoring.Scorer | None = None
+    #: Files of the driver: a booster's model, the names of its features, its metrics with the best threshold.
+    model_path: str | None = None
+    feature_columns_path: str | None = None
+    metrics_path: str | None = None
+    detection_confidence: float = 0.25
+    detection_image_size: int | None = None
+    ocr_language: str = "eng"
+    ocr_layout: str = "6"
     text: bool = True
     sequence: bool = True
     method: str = "union_find"
@@ -24,6 +36,25 @@ class Config:
     seed: int = 13
 
 
+    def cut(self) -> float:
+        return scoring.threshold(self.metrics_path) if self.threshold is None else self.threshold
+
+    def model(self) -> scoring.Scorer | None:
+        if self.scorer is None and self.model_path is not None:
+            return scoring.Trees.read(self.model_path, self.feature_columns_path)
+        return self.scorer
+
+    @classmethod
+    def of_request(cls, request: Request, **more) -> Config:
+        """What a service's request says, and what only the service knows."""
+        return cls(
+            top={SAME: request.same_column_top_k, ADJACENT: request.adjacent_column_top_k, CROSS: request.cross_column_top_k}, threshold=request.pairwise_threshold, text=request.run_ocr,
+            method=request.clustering_method, validate=request.cluster_validation_enabled,
+            validation=clustering.Validation(request.strong_pair_threshold, request.medium_pair_min_probability, request.medium_pair_max_probability, request.cluster_validation_threshold),
+            resolution=request.leiden_resolution, seed=request.leiden_seed, detection_confidence=request.yolo_confidence, detection_image_size=request.yolo_image_size, **more,
+        )
+
+
 @dataclass(frozen=True)
 class Run:
     pages: DataFrame
@@ -43,27 +74,19 @@ class Run:
 def run(found: DataFrame, config: Config = Config()) -> Run:
     """found: detected blocks with `ord`, and with ocr_text where text features are wanted.
 
-    Annotated blocks and scored pairs, which several tables need, are persisted. Lazy without text features: nothing runs before a table is read. With them, blocks
-    and pairs are checkpoints (local ones where spark.checkpoint.dir is not set), as the plan with their whole lineage in each feature does not fit a small driver; exchanges before them run at once.
+    Suppressed and annotated blocks and scored pairs, which several tables need, are written once, without texts; pairs and weights of terms too
+    where there are text features. Texts come back to blocks by block_id and `ord`, so `ord` may begin anew on each page.
     """
     texts = [c for c in ("ocr_text",) if c in found.columns]
     with_text = config.text and bool(texts)
-
-    def keep(df: DataFrame) -> DataFrame:
-        df = df.persist()
-        if not with_text:
-            return df
-        shared = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-        return df.checkpoint(eager=False) if shared else df.localCheckpoint(eager=False)
-
-    kept = blocks.suppress(blocks.prepare(found.drop(*texts)))
+    kept = settled(blocks.suppress(blocks.prepare(found.drop(*texts))))
     columns = layout.columns(kept)
-    placed = keep(layout.annotate(kept, columns))
+    placed = settled(layout.annotate(kept, columns))
     pairs = candidates.pairs(placed, config.top)
-    pairs = keep(pairs) if with_text else pairs
+    pairs = settled(pairs) if with_text else pairs
     if texts:
-        placed = placed.join(found.select("ord", *texts), "ord")
-    ready = pair_text.merge(pairs, pair_text.features(pairs, placed, config.sequence)) if with_text else pairs
-    scored = keep(scoring.score(ready, config.scorer, config.threshold))
+        placed = placed.join(found.select("block_id", "ord", *texts), ["block_id", "ord"])
+    ready = pair_text.merge(pairs, pair_text.features(pairs, placed, config.sequence, settled)) if with_text else pairs
+    scored = settled(scoring.score(ready, config.model(), config.cut()))
     clusters, scored = clustering.cluster(placed, scored, config.method, config.validate, config.validation, config.resolution, config.seed)
     return Run(tables.pages_of(found), placed, columns, pairs, scored, clusters)
