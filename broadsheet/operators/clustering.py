@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..schemas import PAGE
+from ..schemas import CROSS, HEADLINE_CLASSES, PAGE, SAME
 
 # Fixed values of validation.
 MOST_APPENDED, LEAST_TARGET, LEAST_APPEND, MOST_APPEND_GAP, MOST_APPEND_STEPS = 10, 3, 0.85, 0.02, 3
@@ -119,57 +119,76 @@ def _text(value) -> str:
     return "" if value is None or value != value else str(value)
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What the rules for a single block and a cluster look at."""
+
+    size: int
+    source: str
+    relation: str
+    classes: str
+    overlap: float
+    similarity: float
+    gap: float
+    shared: int
+    any_words: bool
+    headline: bool
+
+    @property
+    def same_column(self) -> bool:
+        return self.source == SAME or self.relation == "same_column"
+
+
+# The rules by topic, in the order of their reasons. Of a topic, the first rule that holds counts: its step, and its reason (# stands for the number of shared words).
+BLOCK_RULES = (
+    ((lambda f: f.size >= 2, 0.02, "cluster_size>=2"),),
+    (
+        (lambda f: f.same_column, 0.04, "same_column_support"),
+        (lambda f: f.relation == "adjacent_column" and f.overlap > 0.2, 0.02, "adjacent_with_overlap"),
+        (lambda f: CROSS in f.source, -0.02, CROSS),
+        (lambda f: f.relation == "cross_column", -0.05, "cross_column"),
+    ),
+    (
+        (lambda f: any(c in f.classes for c in ("Section-header__Text", "Text__Section-header")), 0.02, "header_text_class_pair"),
+        (lambda f: "Section-header__Section-header" in f.classes, -0.02, "header_header_pair"),
+        (lambda f: "Picture" in f.classes, -0.05, "picture_pair"),
+    ),
+    (
+        (lambda f: f.similarity >= 0.2, 0.02, "text_similarity>=0.2"),
+        (lambda f: f.similarity == 0, -0.02, "text_similarity_zero"),
+    ),
+    ((lambda f: f.gap > 0.08, -0.03, "vertical_gap_high"),),
+    (
+        (lambda f: f.shared >= 3, 0.08, "cluster_ocr_overlap_#"),
+        (lambda f: f.shared == 2, 0.05, "cluster_ocr_overlap_#"),
+        (lambda f: f.shared == 1, 0.02, "cluster_ocr_overlap_#"),
+        (lambda f: f.any_words, -0.04, "cluster_ocr_overlap_#"),
+        (lambda f: True, None, "cluster_ocr_unavailable"),
+    ),
+    ((lambda f: f.headline and f.shared >= LEAST_SHARED, 0.04, "headline_matches_cluster_topic"),),
+)
+
+
 def judge_block(pair: dict, block: str, cluster: list[str], tokens: dict[str, set[str]], threshold: float) -> tuple[bool, float, str]:
-    """Whether a single block may join a cluster: the pair's probability with steps for layout, classes and shared words."""
-    p = float(pair["probability_same_article"])
-    source, relation, classes = (_text(pair[c]) for c in ("candidate_sources", "column_relation", "class_pair"))
-    steps: list[tuple[str, float]] = []
-    if len(cluster) >= 2:
-        steps.append(("cluster_size>=2", 0.02))
-    if source == "same_column_window" or relation == "same_column":
-        steps.append(("same_column_support", 0.04))
-    elif relation == "adjacent_column" and _number(pair["x_overlap_ratio"]) > 0.2:
-        steps.append(("adjacent_with_overlap", 0.02))
-    elif "cross_column_headline_continuation" in source:
-        steps.append(("cross_column_headline_continuation", -0.02))
-    elif relation == "cross_column":
-        steps.append(("cross_column", -0.05))
-    if "Section-header__Text" in classes or "Text__Section-header" in classes:
-        steps.append(("header_text_class_pair", 0.02))
-    elif "Section-header__Section-header" in classes:
-        steps.append(("header_header_pair", -0.02))
-    elif "Picture" in classes:
-        steps.append(("picture_pair", -0.05))
-    similarity = _number(pair["text_similarity"])
-    if similarity >= 0.2:
-        steps.append(("text_similarity>=0.2", 0.02))
-    elif similarity == 0:
-        steps.append(("text_similarity_zero", -0.02))
-    if _number(pair["vertical_gap_norm"]) > 0.08:
-        steps.append(("vertical_gap_high", -0.03))
-    others: set[str] = set().union(*(tokens.get(b, set()) for b in cluster))
-    common = sorted(tokens.get(block, set()) & others)
-    note = ""
-    if common:
-        steps.append((f"cluster_ocr_overlap_{len(common)}", {1: 0.02, 2: 0.05}.get(len(common), 0.08)))
-    elif tokens:
-        steps.append(("cluster_ocr_overlap_0", -0.04))
-    else:
-        note = "cluster_ocr_unavailable"
-    reasons = [f"base_probability={p:.6f}", f"cluster_size={len(cluster)}", *(f"{n}={s:+.2f}" for n, s in steps)]
-    if note:
-        reasons.append(note)
-    score = p
-    for _, s in steps:
-        score += s
-    kind = pair["left_class_name"] if pair["left_block_id"] == block else pair["right_class_name"]
-    if kind in ("Section-header", "Title") and len(common) >= LEAST_SHARED:
-        score += 0.04
-        reasons.append("headline_matches_cluster_topic=+0.04")
-    if common:
-        reasons.append("shared_tokens=" + ",".join(common[:8]))
+    """Whether a single block may join a cluster: the pair's probability with the steps of BLOCK_RULES."""
+    own = "left" if pair["left_block_id"] == block else "right"
+    shared = sorted(tokens.get(block, set()) & set().union(*(tokens.get(b, set()) for b in cluster)))
+    facts = Facts(
+        len(cluster), *(_text(pair[c]) for c in ("candidate_sources", "column_relation", "class_pair")), *(_number(pair[c]) for c in ("x_overlap_ratio", "text_similarity", "vertical_gap_norm")),
+        len(shared), bool(tokens), pair[f"{own}_class_name"] in HEADLINE_CLASSES,
+    )
+    p = score = float(pair["probability_same_article"])
+    reasons = [f"base_probability={p:.6f}", f"cluster_size={facts.size}"]
+    for topic in BLOCK_RULES:
+        for holds, step, reason in topic:
+            if holds(facts):
+                score += step or 0.0
+                reasons.append(reason.replace("#", str(facts.shared)) + (f"={step:+.2f}" if step else ""))
+                break
+    if shared:
+        reasons.append("shared_tokens=" + ",".join(shared[:8]))
     reasons.append(f"validation_threshold={threshold:.3f}")
-    return p >= LEAST_SINGLE and score >= threshold and len(common) >= LEAST_SHARED, score, "; ".join(reasons)
+    return p >= LEAST_SINGLE and score >= threshold and len(shared) >= LEAST_SHARED, score, "; ".join(reasons)
 
 
 def judge_append(pair: dict, appended: list[str], target: list[str], threshold: float) -> tuple[bool, float, str]:
@@ -182,6 +201,7 @@ def judge_append(pair: dict, appended: list[str], target: list[str], threshold:
     aligned, close, next_to = overlap >= 0.8, gap <= MOST_APPEND_GAP, steps_away <= MOST_APPEND_STEPS
     reasons = [f"base_probability={p:.6f}", f"append_cluster_size={len(appended)}", f"target_cluster_size={len(target)}"]
     score = p
+    # What holds, the step and reason if it does, and if it does not.
     rules = (
         (sure, 0.02, f"probability>={LEAST_APPEND:.2f}", 0.0, f"probability<{LEAST_APPEND:.2f}"),
         (same, 0.04, "same_column_support", -0.06, "not_same_column"),
@@ -200,7 +220,7 @@ def judge_append(pair: dict, appended: list[str], target: list[str], threshold:
 
 
 def _validate(vertices: pd.DataFrame, edges: pd.DataFrame, rule: Validation) -> tuple[list[list[str]], list[tuple]]:
-    """(clusters, (pair_id, status, score, reason) of each pair) of a page. Medium pairs come by falling probability, then by pair."""
+    """(clusters, (pair_id, status, score, reason) of each pair) of a page; the names of the statuses are fixed values. Medium pairs come by falling probability, then by pair."""
     found = Components(vertices["block_id"])
     tokens = {b: set(t) for b, t in zip(vertices["block_id"], vertices["tokens"]) if t is not None}
     audit: dict[str, tuple] = {}
