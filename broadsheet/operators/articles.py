@@ -95,7 +95,3 @@ def metrics(counts: DataFrame) -> DataFrame:
 
 def coerced(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, coerce_number(column).alias("v")).select(*keep, "v.*")
-
-
-def clusters_of_pages(clusters: DataFrame) -> DataFrame:
-    return clusters.groupBy(*PAGE).agg(F.countDistinct("predicted_cluster_id").alias("clusters"), F.count(F.lit(1)).alias("blocks"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import FEATURE_CLASSES, FEATURE_PARTNERS, FEATURES, NUMERIC_FEATURES, RELATIONS, SOURCE_FEATURES
+from ..schemas import FEATURES, NUMERIC_FEATURES
 
 DEFAULT_THRESHOLD = 0.5
 
@@ -24,32 +24,38 @@ def threshold(metrics: str | Path | None, default: float = DEFAULT_THRESHOLD) ->
     return float(json.loads(Path(metrics).read_text(encoding="utf-8")).get("best_threshold", default))
 
 
-def feature_columns(have: list[str]) -> dict[str, Column]:
-    """Each model feature by name. Infinite, missing and absent numbers are 0, unknown classes have no flag.
+def read_features(path: str | Path | None) -> list[str]:
+    """The names that a model was fitted on, in its order, from a JSON list on the driver; those of FEATURES without a file."""
+    return list(FEATURES) if path is None else [str(c) for c in json.loads(Path(path).read_text(encoding="utf-8"))]
+
+
+#: Columns that make flags: a feature is the column's name, an underscore and a value; MISSING stands for none.
+CATEGORIES = ("left_class_name", "right_class_name", "class_pair", "column_relation")
+MISSING = "__missing__"
+
+
+def feature(name: str, have: list[str]) -> Column:
+    """A model feature of any model by its name. Infinite, missing and absent numbers are 0, as is a feature of an unknown kind.
 
     A source's flag says that the sources' names contain its name, so a longer name sets a shorter one's flag too.
     """
-
-    def numeric(name: str) -> Column:
+    if name in NUMERIC_FEATURES:
         if name not in have:
             return F.lit(0.0)
         value = F.col(name).cast("double")
         return F.when(F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(F.coalesce(value, F.lit(0.0)))
+    if name.startswith("source__"):
+        sources = F.coalesce("candidate_sources", F.lit("")) if "candidate_sources" in have else F.lit("")
+        return F.contains(sources, F.lit(name.removeprefix("source__"))).cast("int")
+    for column in CATEGORIES:
+        if name.startswith(f"{column}_"):
+            value = F.coalesce(F.col(column).cast("string"), F.lit(MISSING)) if column in have else F.lit(MISSING)
+            return (value == name[len(column) + 1 :]).cast("int")
+    return F.lit(0)
 
-    def flag(name: str, value: str) -> Column:
-        return F.coalesce(F.col(name) == value, F.lit(False)).cast("int") if name in have else F.lit(0)
 
-    sources = F.coalesce("candidate_sources", F.lit("")) if "candidate_sources" in have else F.lit("")
-    out = {c: numeric(c) for c in NUMERIC_FEATURES}
-    out |= {f"source__{s}": F.contains(sources, F.lit(s)).cast("int") for s in SOURCE_FEATURES}
-    out |= {f"{side}_class_name_{c}": flag(f"{side}_class_name", c) for side in ("left", "right") for c in FEATURE_CLASSES}
-    out |= {f"class_pair_{a}__{b}": flag("class_pair", f"{a}__{b}") for a, others in FEATURE_PARTNERS.items() for b in others.split()}
-    return out | {f"column_relation_{r}": flag("column_relation", r) for r in RELATIONS}
-
-
-def feature_matrix(pairs: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
-    made = feature_columns(pairs.columns)
-    return pairs.select(*keep, *(made[c].alias(c) for c in FEATURES))
+def feature_matrix(pairs: DataFrame, keep: tuple[str, ...] = ("pair_id",), names: list[str] = FEATURES) -> DataFrame:
+    return pairs.select(*keep, *(feature(c, pairs.columns).alias(c) for c in names))
 
 
 #: Default weights: nearness in the page and in reading order speak for one article, text overlap too.
@@ -74,26 +80,29 @@ WEIGHTS = {
 
 def logistic(have: list[str], weights: dict[str, float] = WEIGHTS, bias: float = BIAS) -> Column:
     """Probability that a pair is of one article, inside the plan."""
-    made = feature_columns(have)
     z = F.lit(bias)
     for name, weight in weights.items():
-        z = z + made[name].cast("double") * F.lit(weight)
+        z = z + feature(name, have).cast("double") * F.lit(weight)
     return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 6)
 
 
 class Scorer(Protocol):
-    """Features in the order of FEATURES -> probabilities. It is sent to the executors, so it must be picklable."""
+    """Features in the order of its names, or of FEATURES if it has none -> probabilities. It is sent to the executors, so it must be picklable."""
 
     def __call__(self, features: np.ndarray) -> np.ndarray: ...
 
 
+def names_of(scorer: Scorer) -> list[str]:
+    return list(getattr(scorer, "names", None) or FEATURES)
+
+
 class Trees:
     """A boosted tree ensemble from the booster's JSON model: features below a split's value go left, missing ones by its default."""
 
-    def __init__(self, model: dict):
+    def __init__(self, model: dict, names: list[str] | None = None):
+        """names: of the features, if the model itself has none."""
         learner = model["learner"]
-        names = learner.get("feature_names") or FEATURES
-        self.order = np.array([FEATURES.index(n) for n in names])
+        self.names = list(learner.get("feature_names") or names or FEATURES)
         base = float(str(learner["learner_model_param"].get("base_score", 0.5)).strip("[]"))
         self.base = float(np.log(base / (1 - base)))
         self.trees = [
@@ -101,11 +110,12 @@ class Trees:
         ]
 
     @classmethod
-    def read(cls, path: str | Path) -> Trees:
-        return cls(json.loads(Path(path).read_text(encoding="utf-8")))
+    def read(cls, path: str | Path, features: str | Path | None = None) -> Trees:
+        """From the model's file and that of its features' names, both on the driver."""
+        return cls(json.loads(Path(path).read_text(encoding="utf-8")), None if features is None else read_features(features))
 
     def __call__(self, features: np.ndarray) -> np.ndarray:
-        x = features[:, self.order].astype(np.float32)
+        x = features.astype(np.float32)
         total = np.full(len(x), self.base, np.float32)
         for left, right, split, value, default in self.trees:
             node = np.zeros(len(x), int)
@@ -122,11 +132,12 @@ def score(pairs: DataFrame, scorer: Scorer | None = None, cut: float = DEFAULT_T
     if scorer is None:
         scored = pairs.withColumn("probability_same_article", logistic(pairs.columns))
     else:
-        made = feature_matrix(pairs, ("pair_id",))
+        names = names_of(scorer)
+        made = feature_matrix(pairs, ("pair_id",), names)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame({"pair_id": batch["pair_id"], "probability_same_article": scorer(batch[FEATURES].to_numpy(float)).astype(float)})
+                yield pd.DataFrame({"pair_id": batch["pair_id"], "probability_same_article": scorer(batch[names].to_numpy(float)).astype(float)})
 
         scored = pairs.join(made.mapInPandas(run, "pair_id string, probability_same_article double"), "pair_id")
     prediction = F.coalesce(F.col("probability_same_article") >= cut, F.lit(False)).cast("int")

@@ -5,15 +5,23 @@ Adapters run in mapInPandas, so a worker loads a model once and reads an image o
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import collapse, default_document_id
 from ..operators.blocks import crops
-from ..schemas import OCR_CLASSES, PAGE
+from ..schemas import OCR_CLASSES
+from ..settle import settled
+from .store import read_bytes, write_bytes
+
+# Fixed value: crops with a longer side below it are made twice as large.
+SMALL = 1600
 
 #: Frames of a file's bytes: (width, height, PNG bytes) each.
 Decoder = Callable[[bytes], Iterable[tuple[int, int, bytes]]]
@@ -75,5 +83,74 @@ def block_text(blocks: DataFrame, load: Callable[[], Reader] | None = None) -> D
     return ready.mapInPandas(run, "block_id string, class_name string, ocr_text string, ocr_error string").withColumn("ocr_text", collapse("ocr_text"))
 
 
-def page_keys(blocks: DataFrame) -> DataFrame:
-    return blocks.select(*PAGE).distinct()
+# What needs programs or packages that may not be there.
+
+
+def pillow_frames(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Decoder by Pillow: each frame of a file as a PNG in colours."""
+    import io
+
+    from PIL import Image, ImageSequence
+
+    with Image.open(io.BytesIO(raw)) as file:
+        for frame in ImageSequence.Iterator(file):
+            out = io.BytesIO()
+            frame.convert("RGB").save(out, "PNG")
+            yield *frame.size, out.getvalue()
+
+
+def write_pages(pages: DataFrame) -> DataFrame:
+    """Writes each page's `content` to its image_path, on the executors, and gives the pages without it, written as a table so that this happens once.
+
+    The folder must be one that all executors share, as any URI that Arrow knows. A page that is written again is the same file.
+    """
+    fields = [f for f in pages.schema.fields if f.name != "content"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["image_path"], batch["content"]):
+                write_bytes(path, bytes(content))
+            yield batch.drop(columns="content")
+
+    return settled(pages.mapInPandas(run, T.StructType(fields)))
+
+
+def sharpened(crop):
+    """A crop made ready for OCR: grey, twice as large if its longer side is below SMALL, with full contrast, sharpened. A Pillow image."""
+    from PIL import Image, ImageFilter, ImageOps
+
+    grey = crop.convert("L")
+    if max(grey.size) < SMALL:
+        grey = grey.resize(tuple(2 * n for n in grey.size), Image.Resampling.LANCZOS)
+    return ImageOps.autocontrast(grey).filter(ImageFilter.SHARPEN)
+
+
+def pillow_crop(path: str, box: tuple[int, int, int, int]) -> bytes:
+    """The PNG of an image file's crop, made ready for OCR."""
+    import io
+
+    from PIL import Image
+
+    out = io.BytesIO()
+    with Image.open(io.BytesIO(read_bytes(path))) as page:
+        sharpened(page.crop(box)).save(out, "PNG")
+    return out.getvalue()
+
+
+@dataclass(frozen=True)
+class Tesseract:
+    """Reader by the tesseract program, which gets the crop on its standard input. What it says when it fails is the error."""
+
+    language: str = "eng"
+    layout: str = "6"
+    program: tuple[str, ...] = ("tesseract",)
+    crop: Callable[[str, tuple[int, int, int, int]], bytes] = pillow_crop
+
+    def load(self) -> Reader:
+        return self
+
+    def __call__(self, path: str, box: tuple[int, int, int, int]) -> tuple[str, str]:
+        done = subprocess.run([*self.program, "stdin", "stdout", "-l", self.language, "--psm", self.layout], input=self.crop(path, box), capture_output=True, check=False)
+        if done.returncode:
+            return "", done.stderr.decode(errors="ignore").strip()
+        return done.stdout.decode(errors="ignore"), ""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +14,10 @@ def pages_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def blocks_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of an earlier run, `ord` in the order of the files and their lines."""
-    return spark.read.schema(BLOCKS_CSV).csv(path, header=True).withColumn("ord", F.monotonically_increasing_id())
+    """Blocks of an earlier run, by the names of their columns; `ord` in the order of the files and their lines: the file, where the split of it begins, and a number that grows inside of a split."""
+    raw = spark.read.csv(path, header=True)
+    some = raw.select(*((F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in BLOCKS_CSV.fields), "_metadata")
+    return some.withColumn("ord", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("line"))).drop("_metadata")
 
 
 def strings_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -31,11 +33,18 @@ def metadata(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, document_id, file_size_bytes, file_sha256, accepted) of files in a landing folder; TIFF and PNG are accepted."""
+    """(path, document_id, file_size_bytes, file_sha256, accepted) of files in a landing folder; TIFF and PNG are accepted.
+
+    The id is of the path, so reading again gives the same; `store.Store.upload_all` makes documents with ids of their own.
+    """
     files = spark.read.format("binaryFile").load(path)
     sha = F.sha2("content", 256)
-    accepted = F.lower("path").rlike(r"\.(tif|tiff|png)$")
-    return files.select("path", F.concat(F.lit("doc_"), F.substring(F.md5("path"), 1, 12)).alias("document_id"), F.col("length").alias("file_size_bytes"), sha.alias("file_sha256"), accepted.alias("accepted"))
+    return files.select("path", F.concat(F.lit("doc_"), F.substring(F.md5("path"), 1, 12)).alias("document_id"), F.col("length").alias("file_size_bytes"), sha.alias("file_sha256"), is_image("path").alias("accepted"))
+
+
+def is_image(path: str) -> Column:
+    """Whether a file's name ends as those of scans do."""
+    return F.lower(path).rlike(r"\.(tif|tiff|png)$")
 
 
 #: One document is one block: 36 places a page, of which 32 are a grid of 4 columns and 8 rows and 4 detect the first ones again.

@@ -18,12 +18,16 @@ def progress_counts(updates: DataFrame, time: str = "ts", stage: str = "stage",
 
 
 def latest_status(updates: DataFrame, target: str, checkpoint: str, key: str, order: list[str]) -> StreamingQuery:
-    """Keeps the latest update of each key in `target`: a batch is merged with the state before it, each batch in a folder of its own, so one that runs again writes the same."""
+    """Keeps the latest update of each key in `target`: a batch is merged with the state before it, each batch in a folder of its own, so one that runs again writes the same. The last two states are kept."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         own = batch if number == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{target}/{number - 1}"))
         jobs.latest(own, key, order).write.mode("overwrite").parquet(f"{target}/{number}")
+        # The state before the last one is not needed even if this batch runs again.
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
