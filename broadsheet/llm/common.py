@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes of an Arrow batch sent to a Python worker: bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
+_stashed: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +48,31 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/broadsheet/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
+    """Session settings (dots as __) for the time of a block."""
+    names = {k.replace("__", "."): v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Writes a DataFrame as Parquet to the shared folder and reads it again: short lineage, and executors can be lost."""
+    """Writes a DataFrame as Parquet to the shared folder and reads it again: short lineage, and executors can be lost.
+
+    It stays until drop_stash(), at the latest until the program's end: results read their last stash when they are read.
+
+    The shuffle files of the write go when it ends, not whenever the driver happens to collect its garbage.
+    """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    _stashed[path] = df.sparkSession
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stash_path = path
     return out
@@ -63,18 +86,24 @@ def drop_stash(*frames: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            _stashed.pop(path, None)
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are done with, instead of whenever the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+@atexit.register
+def _drop_all() -> None:
+    while _stashed:
+        path, spark = _stashed.popitem()
+        with contextlib.suppress(Exception):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def table_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Size of an input table through Hadoop's file system, so any store that Spark reads will do."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+def check_new(df: DataFrame, *names: str) -> None:
+    """ValueError if the input has one of these columns already, in any case."""
+    have = {c.lower() for c in df.columns}
+    for name in names:
+        if name.lower() in have:
+            raise ValueError(f"the input already has a column {name}")
 
 
 def fresh_name(df: DataFrame, *wanted: str) -> list[str]:
@@ -108,6 +137,5 @@ def crc32_text(col) -> F.Column:
 
 
 def worker_temp() -> str:
-    """A scratch folder of this executor alone; only DuckDB's spill goes there and it is removed with the process."""
-    path = os.path.join(tempfile.gettempdir(), f"duck-{os.getpid()}")
-    return path
+    """A scratch folder of this executor alone, for what DuckDB spills; DuckDB makes it when it spills and removes its files with the database."""
+    return os.path.join(tempfile.gettempdir(), f"duck-{os.getpid()}")
