@@ -13,8 +13,9 @@ members on such tokens, under the positional and size bounds, and these pairs ar
 compared, or cannot be similar, or is already in one component.
 
 Defined results: null text, empty text and text without words have an empty set and are linked with nothing. With fewer words than a shingle
-has, all words are one shingle. Rows that share an id count as one document. A row with a null id can be joined to others
-but names no component, unless there is no other id in it (component null). Other columns are ignored.
+has, all words are one shingle. Ids may be of any type that can be ordered, negative numbers and strings too; a component has the smallest of its rows' ids.
+Rows that share an id count as one document. A row with a null id can be joined to others but names no component, unless
+there is no other id in it (component null). Texts of any length are compared whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,16 +135,20 @@ def sketches(df: DataFrame, rule: Rule, id_col: str, text: str) -> DataFrame:
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
-    """(id, text) -> (id, members): the full set as bytes."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("members", T.BinaryType())])
+    """(text) -> (digest, members): the digest of the full set, and the set as bytes; other columns are kept."""
+    kept = [f for f in df.schema.fields if f.name != "text"]
+    schema = T.StructType([*kept, T.StructField("own", T.BinaryType()), T.StructField("members", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         with np.errstate(over="ignore"):
             for batch in batches:
-                made = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "members"])
+                made = [shingle_set(t.as_py(), words).tobytes() for t in batch.column("text")]
+                rows = batch.select([f.name for f in kept]).columns
+                yield pa.RecordBatch.from_arrays([*rows, pa.array([xxhash.xxh3_128_digest(m) for m in made], pa.binary()), pa.array(made, pa.binary())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.select(*(f.name for f in kept), "text").mapInArrow(run, schema)
 
 
 def _linked(pairs: DataFrame, percent: int) -> DataFrame:
@@ -168,14 +173,23 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
 def groups(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: id, n (size of its set), component (smallest id reachable)."""
     rows = common.stash(sketches(df, rule, id_col, text), "sketches")
-    some_id = F.coalesce(F.col("id").cast("long"), -F.abs(F.xxhash64("digest")) - 2)
-    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("first_id"), F.min(some_id).alias("any_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = common.stash(classes.select("digest", "n", "keys", F.coalesce(F.col("first_id").cast("long"), "any_id").alias("class")), "classes")
-    roots = _components(df, rule, id_col, text, classes)
-    found = classes.select("digest", "class").join(roots, F.col("class") == F.col("x"), "left").select("digest", F.coalesce("y", "class").alias("root"))
-    out = rows.select("id", "n", "digest").join(found, "digest", "left")
-    component = F.when(F.col("n") == 0, F.col("id").cast("long")).otherwise(F.when(F.col("root") < -1, F.col("id").cast("long")).otherwise(F.col("root")))
-    return out.select(F.col("id").alias(id_col), "n", component.alias("component"))
+    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = common.stash(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    repeated = common.stash(rows.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select("id"), "repeated")
+    shared = None
+    if not repeated.isEmpty():
+        mine = rows.join(repeated, "id").select("id", "digest").join(classes.select("digest", "class"), "digest").select("id", "class").distinct()
+        shared = mine.join(mine.groupBy("id").agg(F.min("class").alias("y")), "id").filter("class <> y").select(F.col("class").alias("x"), "y")
+    docs = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    roots = _components(docs, rule, classes, shared)
+    found = classes.select("digest", "first_id", "class").join(roots, F.col("class") == F.col("x"), "left").select("digest", "first_id", F.coalesce("y", "class").alias("root"))
+    named = found.join(found.groupBy("root").agg(F.min("first_id").alias("component")), "root").select("digest", "component")
+    named = common.stash(named, "named")
+    common.drop_stash(classes, repeated, roots)
+    out = rows.select("id", "n", "digest").join(named, "digest", "left")
+    out = common.stash(out.select(F.col("id").alias(id_col), "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component")), "groups")
+    common.drop_stash(rows, named)
+    return out
 
 
 def _prefixes(members: DataFrame, percent: int) -> DataFrame:
@@ -219,19 +233,31 @@ def _roots(state: DataFrame, links: DataFrame) -> DataFrame:
     return common.stash(state.join(moved, F.col("root") == F.col("x"), "left").select("id", F.coalesce("y", "root").alias("root")), "state")
 
 
-def _components(df: DataFrame, rule: Rule, id_col: str, text: str, classes: DataFrame) -> DataFrame:
-    """(x, y): the component y of class x, for classes that are joined to a smaller one."""
-    spark, percent = df.sparkSession, rule.percent
+def _class_sets(docs: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
+    """(id, members): the full set of each class (class, digest, first_id), from the text of a row of it."""
+    own = F.col("own") == F.col("digest")
+    named = docs.join(classes.select(F.col("first_id").alias("id"), "class", "digest"), "id").drop("id")
+    made = _sets(named, rule.words).filter(own).select(F.col("class").alias("id"), "members")
+    nameless = classes.filter("first_id IS NULL")
+    if not nameless.isEmpty():
+        other = _sets(docs.filter("id IS NULL").select("text"), rule.words).join(nameless.select("digest", "class"), own)
+        made = made.unionByName(other.select(F.col("class").alias("id"), "members"))
+    return made
+
+
+def _components(docs: DataFrame, rule: Rule, classes: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """(x, y): the component y of class x, for classes that are joined to a smaller one; shared: further links (x, y), of rows that share an id."""
+    spark, percent = docs.sparkSession, rule.percent
     keyed = classes.select(F.col("class").alias("id"), "n", F.explode("keys").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    members = common.stash(keyed.join(shared, "bucket"), "members")
+    crowded = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    members = common.stash(keyed.join(crowded, "bucket"), "members")
     company = members.groupBy("id").agg(F.sum("held").alias("company"))
     state = common.stash(company.select("id", F.col("id").alias("root")), "state")
     name = f"near_sets_{uuid.uuid4().hex}"
-    made = _sets(df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(state.select("id"), "id", "left_semi"), rule.words)
-    if not state.filter("id < -1").isEmpty():
-        nameless = df.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("id"), F.col(text).alias("text"))
-        made = made.unionByName(_nameless_sets(nameless, rule.words))
+    made = _class_sets(docs, rule, classes.join(state.select(F.col("id").alias("class")), "class", "left_semi"))
+    if shared is not None or not classes.filter("first_id IS NULL").isEmpty():
+        # Several rows may have had the text of a class.
+        made = made.dropDuplicates(["id"])
     made.write.bucketBy(BUCKETS, "id").sortBy("id").format("parquet").saveAsTable(name)
     sets = spark.table(name)
     try:
@@ -247,7 +273,10 @@ def _components(df: DataFrame, rule: Rule, id_col: str, text: str, classes: Data
         rooted = rooted.select("hub", "x", "n", "root", (F.col("root") != F.col("hub_root")).alias("apart"))
         open_hubs = rooted.groupBy("hub").agg(F.count(F.lit(1)).alias("held"), F.max("apart").alias("any_apart"), F.min("root").alias("a"), F.max("root").alias("b")).filter("any_apart AND held > 1 AND a <> b")
         rooted = common.stash(rooted.join(open_hubs.select("hub"), "hub", "left_semi"), "open")
-        tokens = common.stash(_prefixes(_with_sets(rooted, sets, "x", "hub"), percent), "tokens")
+        every = common.stash(_prefixes(_with_sets(rooted, sets, "x", "hub"), percent), "tokens")
+        # Only where members of several components share a token.
+        mixed = every.groupBy("hub", "token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("apart").alias("any_apart")).filter("any_apart AND a <> b")
+        tokens = every.join(mixed.select("hub", "token"), ["hub", "token"], "left_semi")
         left = tokens.filter("apart")
         right = tokens.select("hub", "token", *(F.col(c).alias(f"{c}_y") for c in ("x", "root", "apart", "n", "place", "shared")))
         rest = F.least(F.col("n") - F.col("place"), F.col("n_y") - F.col("place_y"))
@@ -259,23 +288,11 @@ def _components(df: DataFrame, rule: Rule, id_col: str, text: str, classes: Data
         between, state = state, _roots(state, more)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    common.drop_stash(members, pairs, links, rooted, tokens, second, more, before, between)
-    return state.filter("id <> root").select(F.col("id").alias("x"), F.col("root").alias("y"))
-
-
-def _nameless_sets(df: DataFrame, words: int) -> DataFrame:
-    """Sets of rows without an id, under the number that their class got."""
-    import xxhash
-
-    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("members", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                made = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(m) for m in made], pa.binary()), pa.array(made, pa.binary())], names=["digest", "members"])
-
-    return df.mapInArrow(run, schema).select((-F.abs(F.xxhash64("digest")) - 2).alias("id"), "members").filter(F.octet_length("members") > 0)
+    common.drop_stash(members, pairs, links, rooted, every, second, more, before, between)
+    joined = state.filter("id <> root").select(F.col("id").alias("x"), F.col("root").alias("y"))
+    found = common.stash(joined, "roots") if shared is None else graph.components(joined.unionByName(shared))
+    common.drop_stash(state)
+    return found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,26 @@ def test_near_odd_rows(docs):
     assert {r.component for r in got} == {None}
 
 
+def test_near_ids_of_any_kind(spark, docs):
+    a, b = "k1 k2 k3 k4 k5 k6 k7 k8 k9", " ".join(WORDS[:60])
+    got = {r.doc_id: r.component for r in near.groups(docs([a, a, a, b, b + " x", "y " + b], [-5, -4, 3, -2, -(2**62), 7]), near.Rule()).collect()}
+    assert got == {-5: -5, -4: -5, 3: -5, -2: -(2**62), -(2**62): -(2**62), 7: -(2**62)}
+    rows = [("q", b), ("p", b + " x"), (None, "y " + b), ("r", None), ("s", "other words of no kin to them at all")]
+    got = {r.id: r.component for r in near.groups(spark.createDataFrame(rows, "id string, text string"), near.Rule(), "id").collect()}
+    assert got == {"q": "p", "p": "p", None: "p", "r": "r", "s": "s"}
+    # Rows that share an id are one document, whatever their texts.
+    got = sorted((r.doc_id, r.component) for r in near.groups(docs([a, b, a + " z", b], [4, 4, 9, 2]), near.Rule()).collect())
+    assert got == [(2, 2), (4, 2), (4, 2), (9, 2)]
+
+
+def test_near_very_long_texts(docs):
+    rng = random.Random(11)
+    long = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(60_000)]
+    texts = [" ".join(long), " ".join(long[:59_000]), " ".join(long[30_000:])]
+    got = {r.doc_id: r for r in near.groups(docs(texts), near.Rule()).collect()}
+    assert [got[i].component for i in range(3)] == [0, 0, 2] and got[0].n == len(shingles(texts[0]))
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     with np.errstate(over="ignore"):
@@ -170,3 +190,31 @@ def test_lines_odd_rows(docs):
         assert left == {"own one here", "unlike that line", "first of all these", texts[3]}
     with pytest.raises(ValueError):
         lines.dedup(docs(["a"]).withColumnRenamed("word", "n_lines"))
+
+
+def test_lines_crowded_words(docs, monkeypatch):
+    # Queues of over HOT classes, under one word and under two; one word in all lines; unlike lines that share their rarest words.
+    monkeypatch.setattr(lines, "HOT", 3)
+    rng = random.Random(8)
+    common_words = [f"c{i}" for i in range(6)]
+    texts = []
+    for i in range(70):
+        own = rng.sample(common_words, 3) + [f"f{i % 9}", f"f{(i * 5) % 11}", "always"]
+        texts.append("\n".join([" ".join(own), " ".join(["always", *rng.sample(WORDS, 9)]), " ".join(["rare1", "rare2", *rng.sample(WORDS[:14], 8)])]))
+    rows = {r.doc_id: r.text for r in lines.dedup(docs(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_lines(texts)
+
+
+def test_lines_long_texts_and_repeats(docs):
+    # 70,000 lines in one text, of which every third is new; the same text again loses all its lines.
+    many = "\n".join(f"w{i // 3} x{i // 3} y{i // 3} z{i // 3}" for i in range(70_000))
+    got = {r.doc_id: r for r in lines.dedup(docs([many, many, "own line here"])).collect()}
+    assert (got[0].n_lines, got[0].n_removed, got[1].n_removed, got[1].text, got[2].text) == (70_000, 70_000 - 23_334, 70_000, "", "own line here")
+    assert got[0].text.split("\n")[:2] == ["w0 x0 y0 z0", "w1 x1 y1 z1"]
+
+
+def test_lines_rows_without_number(spark):
+    # Ids that are no numbers: rows are put in order by them.
+    rows = [("b", "k l m n o p q r s t u"), ("a", "k l m n o p q r s t"), (None, "k l m n o p q r s t v"), ("c", None)]
+    got = {r.id: r.text for r in lines.dedup(spark.createDataFrame(rows, "id string, text string"), "id").collect()}
+    assert got == {"a": rows[1][1], "b": "", None: "", "c": None}
