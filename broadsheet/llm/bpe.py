@@ -3,7 +3,12 @@
 Encoding: a text is split by the vocabulary's pattern; every word that the worker has not met yet becomes rows
 (word, position, token) of single bytes. A recursive query joins neighbouring tokens with the merge table and contracts
 each word's leftmost pair of minimum rank, until no pair of the word is left. Words that are themselves tokens need no
-contraction. Decoding: token rows join the vocabulary and are put together in the order of their positions.
+contraction. Decoding: token rows join the vocabulary, and an ordered aggregation puts each text's together by their positions.
+
+Long words: a word is first cut between two bytes that no token has side by side, as no pair is ever contracted there. What is left of more
+than LONG bytes is contracted at many places in a round: every pair of minimum rank among all that lie so near that a token
+could reach it (CONTRACT_LONG). Until that pair is contracted nothing else changes around it, so the result is the same. A word of n bytes
+takes some hundred rounds of n rows, whatever n is; by single pairs it would take n rounds.
 
 Defined results: null text counts as empty, empty text has no tokens, a null list of ids decodes to empty bytes; an id
 outside the vocabulary raises ValueError. Repeated rows stay, each with its own result. Other columns are kept; an output
@@ -57,7 +62,37 @@ WITH RECURSIVE s(word, pos, token, next_token, next_pos, live) AS (
 SELECT word, token FROM s WHERE NOT live ORDER BY word, pos
 """
 
-DECODE = "SELECT bytes FROM ids JOIN vocabulary USING (token) ORDER BY pos"
+#: Pairs of equal rank that overlap (aaa) are contracted from the left, every other one; such a run waits until all of it is of minimum rank.
+CONTRACT_LONG = """
+WITH RECURSIVE s(word, pos, token, live) AS (
+  SELECT word, pos, token, true FROM start
+  UNION ALL
+  SELECT word, pos, CASE WHEN chosen THEN merged ELSE token END, any_chosen
+  FROM (
+    SELECT word, pos, token, merged, chosen, coalesce(lag(chosen) OVER (PARTITION BY word ORDER BY pos), false) AS gone, bool_or(chosen) OVER (PARTITION BY word) AS any_chosen
+    FROM (
+      SELECT word, pos, token, merged,
+        coalesce(bool_and(hit) OVER (PARTITION BY word, run), false) AND row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1 AS chosen
+      FROM (
+        SELECT word, pos, token, merged, merged IS NOT NULL AND merged = least AS hit,
+          sum(CASE WHEN merged IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY word ORDER BY pos) AS run
+        FROM (
+          SELECT word, pos, token, merged, lag(merged) OVER (PARTITION BY word ORDER BY pos) AS before,
+            min(merged) OVER (PARTITION BY word ORDER BY pos RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS least
+          FROM (SELECT word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next_token FROM s WHERE live) LEFT JOIN merges ON token = l AND next_token = r
+        )
+      )
+    )
+  )
+  WHERE NOT gone
+)
+SELECT word, token FROM s WHERE NOT live ORDER BY word, pos
+"""
+
+#: Bytes of a piece of a word above which pairs are contracted at many places at once.
+LONG = 64
+
+DECODE = "SELECT list(bytes ORDER BY pos) AS parts FROM ids JOIN vocabulary USING (token) GROUP BY doc ORDER BY doc"
 
 
 class Codec:
@@ -75,6 +110,11 @@ class Codec:
         self.size = max(self.ranks.values()) + 1
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.words: dict[str, bytes] = {}
+        #: Which two bytes stand side by side in some token.
+        self.neighbours = np.zeros(1 << 16, bool)
+        for token in self.ranks:
+            own = np.frombuffer(token, np.uint8).astype(np.int32)
+            self.neighbours[own[:-1] * 256 + own[1:]] = True
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": common.worker_temp()})
         pairs = [(x, y, m) for word, m in self.ranks.items() for k in range(1, len(word)) if (x := self.ranks.get(word[:k])) is not None and (y := self.ranks.get(word[k:])) is not None]
         self._table("merges", dict(zip("lrm", np.array(pairs, dtype=np.int32).reshape(-1, 3).T)))
@@ -103,22 +143,49 @@ class Codec:
                 todo.append((word, b))
         if not todo:
             return
-        length = np.array([len(b) for _, b in todo])
-        token = self.single[np.frombuffer(b"".join(b for _, b in todo), dtype=np.uint8)]
-        word = np.repeat(np.arange(len(todo), dtype=np.int32), length)
+        pieces, owner = [], []
+        for i, (_, b) in enumerate(todo):
+            own = self.cut(b)
+            pieces += own
+            owner += [i] * len(own)
+        done = [b""] * len(pieces)
+        for query, some in ((CONTRACT, [i for i, b in enumerate(pieces) if len(b) <= LONG]), (CONTRACT_LONG, [i for i, b in enumerate(pieces) if len(b) > LONG])):
+            if some:
+                for i, ids in zip(some, self.contract(query, [pieces[i] for i in some])):
+                    done[i] = ids
+        found: dict[int, list[bytes]] = {}
+        for i, ids in zip(owner, done):
+            found.setdefault(i, []).append(ids)
+        for i, (text, _) in enumerate(todo):
+            self.words[text] = b"".join(found[i])
+
+    def cut(self, word: bytes) -> list[bytes]:
+        """A word as it is, or, if it is long, in pieces between which nothing is contracted."""
+        if len(word) <= LONG:
+            return [word]
+        own = np.frombuffer(word, np.uint8).astype(np.int32)
+        ends = [*(np.flatnonzero(~self.neighbours[own[:-1] * 256 + own[1:]]) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip([0, *ends], ends)]
+
+    def contract(self, query: str, some: list[bytes]) -> list[bytes]:
+        """Ids of each piece of a word, by one of the recursive queries."""
+        length = np.array([len(b) for b in some])
+        token = self.single[np.frombuffer(b"".join(some), dtype=np.uint8)]
+        word = np.repeat(np.arange(len(some), dtype=np.int32), length)
         pos = (np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
         last = np.cumsum(length) - 1
         next_token, next_pos = np.append(token[1:], 0).astype(np.int32), pos + 1
         next_token[last] = next_pos[last] = -1
         self.db.register("start", pa.table({"word": word, "pos": pos, "token": token, "next_token": next_token, "next_pos": next_pos.astype(np.int32)}))
-        done = self.db.sql(CONTRACT).to_arrow_table()
+        # A pair ends two tokens behind its place; what could reach it lies less than one token further. Only tokens of these bytes can come up.
+        used = set(b"".join(some))
+        longest = max(len(t) for t in self.ranks if used.issuperset(t)) if query is CONTRACT_LONG else 0
+        done = self.db.sql(query.format(reach=3 * longest)).to_arrow_table()
         self.db.unregister("start")
         owner, ids = done.column("word").to_numpy(), done.column("token").to_numpy().astype("<u4")
-        ends = np.searchsorted(owner, np.arange(len(todo)), side="right") * 4
-        flat, begin = ids.tobytes(), 0
-        for (text, _), end in zip(todo, ends.tolist()):
-            self.words[text] = flat[begin:end]
-            begin = end
+        ends = (np.searchsorted(owner, np.arange(len(some)), side="right") * 4).tolist()
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -139,12 +206,14 @@ class Codec:
         """Bytes of consecutive lists of ids; ends: where each list ends in ids."""
         if not len(ids):
             return [b""] * len(ends)
-        self.db.register("ids", pa.table({"pos": np.arange(len(ids), dtype=np.int32), "token": ids.astype(np.int32)}))
-        out = self.db.sql(DECODE).to_arrow_table().column("bytes").combine_chunks()
+        doc = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
+        self.db.register("ids", pa.table({"doc": doc, "pos": np.arange(len(ids), dtype=np.int32), "token": ids.astype(np.int32)}))
+        parts = self.db.sql(DECODE).to_arrow_table().column("parts").combine_chunks()
         self.db.unregister("ids")
+        # The texts' lists follow each other, so the bytes of all lie in one run.
+        out = parts.flatten().cast(pa.large_binary())
         if len(out) != len(ids):
             raise ValueError("an id is not in the vocabulary")
-        out = out.cast(pa.large_binary())
         offsets = np.frombuffer(out.buffers()[1], dtype=np.int64)[out.offset : out.offset + len(out) + 1]
         data, begin, result = memoryview(out.buffers()[2]), int(offsets[0]), []
         for end in offsets[ends].tolist():
@@ -174,15 +243,10 @@ def _lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(ids), np.cumsum([len(x) for x in ids])
 
 
-def _check_new(df: DataFrame, name: str) -> None:
-    if name.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the input already has a column {name}")
-
-
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds array<int> `out` with the ids of each whole text. keep: the input's columns in the result (default: all)."""
     common.bound_batches(df.sparkSession)
-    _check_new(df, out)
+    common.check_new(df, out)
     keep = df.columns if keep is None else keep
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
@@ -200,7 +264,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """Adds binary `out` with the bytes that each list of ids stands for."""
     common.bound_batches(df.sparkSession)
-    _check_new(df, out)
+    common.check_new(df, out)
     keep = df.columns if keep is None else keep
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.BinaryType(), False)])
 

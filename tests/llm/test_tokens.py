@@ -44,6 +44,16 @@ def test_small_cache_gives_the_same(vocabulary, tiktoken_encoding, monkeypatch):
         assert np.frombuffer(codec.encode([t])[0], "<u4").tolist() == tiktoken_encoding.encode_ordinary(t)
 
 
+def test_very_long_words(vocabulary, tiktoken_encoding):
+    own = random.Random(7)
+    some = ["".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "a" * 100_001, "ab" * 3000 + "a", "thecatsatonthematandthen" * 60, "".join(own.choice(["a" * own.randrange(1, 400), "b"]) for _ in range(40)), "=" * 50_000, "日本語" * 3000]
+    codec = bpe.Codec(*vocabulary)
+    for t, ids in zip(some, codec.encode(some)):
+        got = np.frombuffer(ids, "<u4")
+        assert got.tolist() == tiktoken_encoding.encode_ordinary(t), t[:20]
+        assert codec.decode(got.astype(np.int32), np.array([len(got)])) == [t.encode()]
+
+
 def test_empty_and_null_lists(spark, docs, vocabulary):
     assert bpe.encode(docs([]), *vocabulary).count() == 0
     df = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
