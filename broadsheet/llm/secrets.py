@@ -1,9 +1,9 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
 Random strings get few characters per token from a vocabulary made for language. A run of TOKEN_RUN characters is a
-random string if it mixes character classes, is no known digest and no identifier, and has at most MAX_RATIO characters
-per token. Known digests: hexadecimal runs of a usual digest length (the `hex` pattern reports lowercase ones itself).
-Identifiers: UUIDs, numbers, dates and version numbers, and parts of words joined by separators or in camel case.
+random string if it has at most MAX_RATIO characters per token and is no known digest and no identifier, whatever characters it is made of.
+Known digests: hexadecimal runs of a usual digest length (the `hex` pattern reports lowercase ones itself).
+Identifiers: UUIDs, numbers, dates and version numbers, and words (by the same ratio) joined by separators or in camel case.
 
 Spans are (kind, start, end) in code points, end exclusive, kinds in the order of KINDS. A random string that meets a span
 of another kind is left out. Defined results: null and empty texts have no spans. Repeated rows each have their own.
@@ -31,6 +31,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 TOKEN_RUN = r"[A-Za-z0-9+/_=-]{20,}"
 MAX_RATIO = 2.2
+#: Least share of a name's letters that are in words.
+WORDS = 0.6
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 (fixed values).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)]), False)
@@ -44,20 +46,24 @@ _digest = re.compile(r"[0-9a-f]+|[0-9A-F]+").fullmatch
 _words = re.compile(r"[0-9]+|[A-Z]?[a-z]+|[A-Z]+|[+/_=-]+").findall
 
 
-def is_identifier(run: str) -> bool:
-    """UUID, number with separators, or words of three letters and more with at most two groups of digits."""
+def is_identifier(run: str, count_tokens) -> bool:
+    """UUID, number with separators, or a name with at most two groups of digits of which WORDS of the letters are in words.
+
+    A word has three letters or more, and more than MAX_RATIO of them per token in lower case.
+    """
     if _uuid(run) or not re.search("[A-Za-z]", run):
         return True
     parts = [p for p in _words(run) if p[0].isalnum()]
-    return all(p.isdigit() or len(p) >= 3 for p in parts) and sum(p.isdigit() for p in parts) <= 2
+    letters = [p for p in parts if not p.isdigit()]
+    if len(parts) - len(letters) > 2:
+        return False
+    return sum(len(p) for p in letters if len(p) >= 3 and len(p) > MAX_RATIO * count_tokens(p.lower())) >= WORDS * sum(map(len, letters))
 
 
 def is_random(run: str, count_tokens) -> bool:
-    if sum(bool(re.search(c, run)) for c in ("[a-z]", "[A-Z]", "[0-9]")) < 2:
-        return False
-    if _digest(run) and len(run) in DIGEST_LENGTHS or is_identifier(run):
+    if _digest(run) and len(run) in DIGEST_LENGTHS or len(run) > MAX_RATIO * count_tokens(run):
         return False
-    return len(run) <= MAX_RATIO * count_tokens(run)
+    return not is_identifier(run, count_tokens)
 
 
 def scan_text(text: str | None, count_tokens) -> list[tuple[str, int, int]]:
@@ -67,9 +73,13 @@ def scan_text(text: str | None, count_tokens) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in _access(text)]
     found += [("hex", m.start(), m.end()) for m in _hex(text)]
-    base = sorted((s, e) for _, s, e in found)
+    # Runs and spans of other kinds both come by their starts; `reach` is how far the spans that begin before a run's end go.
+    base, at, reach = sorted((s, e) for _, s, e in found), 0, 0
     for m in _run(text):
-        if not any(s < m.end() and m.start() < e for s, e in base) and is_random(m.group(), count_tokens):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach <= m.start() and is_random(m.group(), count_tokens):
             found.append(("random", m.start(), m.end()))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -99,8 +109,7 @@ class Counter:
 def scan(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "spans", keep: list[str] | None = None) -> DataFrame:
     """Adds array<struct<kind, start, end>> `out` with the secrets of each whole text, by start, then kind."""
     common.bound_batches(df.sparkSession)
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the input already has a column {out}")
+    common.check_new(df, out)
     keep = df.columns if keep is None else keep
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, SPANS, False)])
     kind = pa.list_(pa.struct([pa.field("kind", pa.string(), False), pa.field("start", pa.int32(), False), pa.field("end", pa.int32(), False)]))
