@@ -1,12 +1,15 @@
 """Main text of HTML pages: the maximum-scoring contiguous run of a page's words and tags.
 
-A page is read as a sequence of text runs and tags. A word scores WORD; a tag costs what labelled pages say: the logarithm of how much
+A page is read as a sequence of text runs and tags. A word scores WORD. A tag costs what labelled pages say: SCALE times the logarithm of how much
 oftener it stands outside of the main text than inside, between LEAST_COST and MOST_COST. One pass (Kadane) finds the run with the highest
-sum. Where more than half of its words are in one article or main element, the run is drawn to that element's ends. Text inside of
-menus, headers, footers, sidebars, notices, adverts, forms, comments and hidden or raw elements scores nothing and is left out.
+sum, and that run is the main text: nothing widens or narrows it afterwards. What the names, roles, classes and styles of elements say goes into the weights: a
+tag inside of an element that looks like a menu, header, footer, sidebar, notice, advert, form or comment is a tag of another kind ("li!" besides
+"li"), and a text there is counted like a tag (ASIDE_TEXT). What is inside of an article or main element is of a third kind ("li@", ASIDE_TEXT + "@"),
+which costs the least unless pages say otherwise, so an advert there does not end the run; the article and main tags themselves are of the first. Such texts inside of the run are left out of it, as are scripts and styles.
 
 Labelled pages are pages with one article or main element that is no comment, whose inside is the label; at most MAX_PAGES of them, chosen by a hash of
-the page, are counted, and the driver gets one count per tag name (MAX_TAGS at most). Without labelled pages every block tag costs 1.
+the page, are counted, and the driver gets one count per tag name (the MAX_TAGS most frequent ones; others cost 1). Without labelled pages every block tag costs 1.
+On pages that have no such element at all, tags that nothing tells from others have the cost of their plain name ("li?"), which counts all of them.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by an empty line in page order.
 Defined results: null and empty pages, and pages without words outside of the parts left out, have the empty text. An unclosed
@@ -29,12 +32,17 @@ from pyspark.sql import types as T
 from . import common
 
 WORD = 1.0
-LEAST_COST, MOST_COST = 0.02, 8.0
+SCALE = 4.0
+LEAST_COST, MOST_COST = 0.02, 50.0
+#: What the names of tags and of ASIDE_TEXT may end in, see above.
+KINDS = "!@?"
+#: Name under which a text in an element that is none of the main text has its cost.
+ASIDE_TEXT = "!"
 MAX_PAGES = 4_000
-MAX_TAGS = 500
+MAX_TAGS = 1_500
 
 # Fixed values of HTML: elements whose content is not markup, and elements that begin a block.
-RAW = frozenset("script style noscript template iframe textarea title svg math object".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split()
 )
@@ -73,16 +81,22 @@ def is_aside(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def items(page: str) -> tuple[list[tuple], list[tuple[int, int]]]:
-    """([(tag, None) or (None, text) or, for text left out, ("", text)], [(first, last) item of each article or main element])."""
+    """([(tag, None) or (None, text) or, for text left out, (ASIDE_TEXT or that and "@", text)], [(first, last) item of each article or main element]); tags end in their kind."""
     out: list[tuple] = []
     spans, opened = [], []
     at, aside, depth = 0, "", 0
     n = len(page)
+
+    def named(tag: str) -> str:
+        if tag in ("article", "main"):
+            return tag
+        return f"{tag}@" if opened else f"{tag}!" if aside and tag != ASIDE_TEXT else tag
+
     while at < n:
         m = _token.search(page, at)
         text = page[at : m.start() if m else n]
         if text:
-            out.append(("" if aside else None, entities.unescape(text)))
+            out.append((named(ASIDE_TEXT) if aside else None, entities.unescape(text)))
         if not m:
             break
         at = m.end()
@@ -90,13 +104,14 @@ def items(page: str) -> tuple[list[tuple], list[tuple[int, int]]]:
         if not tag:
             continue
         if m[1]:
+            kind = named(tag)
             if aside and tag == aside:
                 depth -= 1
                 if not depth:
                     aside = ""
             elif tag in ("article", "main") and opened and not aside:
                 spans.append((opened.pop(), len(out)))
-            out.append((tag, None))
+            out.append((kind, None))
             continue
         closed = m[3].endswith("/") or tag in VOID
         if aside and not closed and tag in ("article", "main") and not is_aside(tag, m[3], True) and aside not in ("article", "div", "section", "li", "ul", "ol"):
@@ -107,7 +122,7 @@ def items(page: str) -> tuple[list[tuple], list[tuple[int, int]]]:
             aside, depth = tag, 1
         elif tag in ("article", "main") and not closed:
             opened.append(len(out))
-        out.append((tag, None))
+        out.append((named(tag), None))
         if tag in RAW and not closed:
             end = re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
@@ -134,23 +149,22 @@ def blocks(found: list[tuple]) -> list[str]:
     for tag, text in found:
         if tag is None:
             part.append(text)
-        elif tag in BLOCK and part:
+        elif tag.rstrip(KINDS) in BLOCK and part:
             out.append("".join(part))
             part = []
-        elif tag in SPACE:
+        elif tag.rstrip(KINDS) in SPACE:
             part.append(" ")
     return [b for b in (" ".join(x.split()) for x in [*out, "".join(part)]) if b]
 
 
 def main_text(page: str | None, costs: dict[str, float], default: float) -> str:
     found, spans = items(page or "")
-    sizes = [len(text.split()) if tag is None else 0 for tag, text in found]
-    low, high = best_run([WORD * n if tag is None else 0.0 if text is not None else -costs.get(tag, default) for n, (tag, text) in zip(sizes, found)])
-    inside = sum(sizes[low:high])
-    for first, end in spans:
-        if inside and 2 * sum(sizes[max(low, first) : min(high, end)]) > inside:
-            low, high = first, end
-            break
+    kinds = [tag if tag is None or spans or tag.endswith("!") else f"{tag}?" for tag, _ in found]
+
+    def cost(kind: str) -> float:
+        return costs.get(kind, LEAST_COST if kind.endswith("@") else default)
+
+    low, high = best_run([WORD * len(text.split()) if kind is None else -cost(kind) for kind, (_, text) in zip(kinds, found)])
     return "\n\n".join(blocks(found[low:high]))
 
 
@@ -169,17 +183,18 @@ def learn(pages: DataFrame, html: str = "html", max_pages: int = MAX_PAGES) -> t
                 found, spans = items(page.as_py())
                 if len(spans) == 1:
                     first, end = spans[0]
-                    for i, (tag, text) in enumerate(found):
-                        if text is None:
-                            (inner if first < i < end else outer)[tag] += 1
+                    for i, (tag, _) in enumerate(found):
+                        if tag is not None:
+                            for kind in {tag, f"{tag.rstrip(KINDS)}?"}:
+                                (inner if first < i < end else outer)[kind] += 1
         names = sorted({*inner, *outer})
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inner[t] for t in names], pa.int64()), pa.array([outer[t] for t in names], pa.int64())], names=["tag", "inside", "outside"])
 
     totals = some.mapInArrow(count, "tag string, inside bigint, outside bigint").groupBy("tag").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     rows = totals.orderBy(F.desc(F.col("inside") + F.col("outside")), "tag").limit(MAX_TAGS).collect()
     if not rows:
-        return dict.fromkeys(BLOCK, 1.0), LEAST_COST
-    costs = {r.tag: min(MOST_COST, max(LEAST_COST, math.log2((r.outside + 0.5) / (r.inside + 0.5)))) for r in rows}
+        return dict.fromkeys([ASIDE_TEXT, *(f"{t}{kind}" for t in BLOCK for kind in ("", "!", "?"))], 1.0), LEAST_COST
+    costs = {r.tag: min(MOST_COST, max(LEAST_COST, SCALE * math.log2((r.outside + 0.5) / (r.inside + 0.5)))) for r in rows}
     return costs, 1.0
 
 
@@ -187,8 +202,7 @@ def extract(pages: DataFrame, costs: dict[str, float], default: float, html: str
     """Adds string `out` with the main text of each whole page."""
     common.bound_batches(pages.sparkSession)
     keep = pages.columns if keep is None else keep
-    if out.lower() in {c.lower() for c in keep}:
-        raise ValueError(f"the input already has a column {out}")
+    common.check_new(pages.select(*keep), out)
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField(out, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
