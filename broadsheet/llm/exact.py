@@ -72,13 +72,19 @@ def dedup(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text: str =
     hot = F.broadcast(found.filter(F.col("group_size") * HOT_SHARE > total))
     cold = found.filter(F.col("group_size") * HOT_SHARE <= total)
     joined = rows.join(hot, "digest").unionByName(rows.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
-    return joined.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
-
-
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3: exact copies among all documents, through a new index."""
-    index = DigestIndex(spark, f"exact_index_{uuid.uuid4().hex}")
-    found = dedup(common.table(spark, sf_dir, "documents"), index)
+    found = common.stash(joined.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"), "found")
+    common.drop_stash(rows, groups)
+    return found
+
+
+def query(spark: SparkSession, sf_dir: str, index_name: str | None = None) -> DataFrame:
+    """op3: exact copies among all documents, through the index of that name, which stays; without a name, through a new one that is dropped."""
+    index = DigestIndex(spark, index_name or f"exact_index_{uuid.uuid4().hex}")
+    try:
+        found = dedup(common.table(spark, sf_dir, "documents"), index)
+    finally:
+        if not index_name:
+            index.drop()
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -6,10 +6,10 @@ best-fit decreasing: the longest piece first, each into the open sequence with t
 tree over the remaining capacities finds in logarithmic time. A group ends with few sequences that are not full, so the
 number of sequences is that of one packing of all pieces plus a few per GROUP pieces, and memory is bounded by the group.
 
-Pieces are sorted inside a group by length, id and number, so a task that runs again gives the same sequences.
+Pieces are sorted inside a group by length, id and number, and come from a written table, so a task that runs again gives the same sequences.
 
-Defined results: null text counts as empty, and an empty document is the end id alone. Repeated rows are packed each. No rows give no
-sequences. Special tokens' strings in a text get their special ids, as the tokenizer file has it.
+Defined results: null text counts as empty, and an empty document is the end id alone. Repeated rows are packed each, in any group. Names of kept columns
+that clash with the results' raise ValueError. No rows give no sequences. Special tokens' strings in a text get their special ids, as the tokenizer file has it.
 """
 
 from __future__ import annotations
@@ -87,6 +87,7 @@ def pieces(df: DataFrame, path: str, pattern: str, length: int = LENGTH, end: in
     if with_ids:
         own.append(("ids", pa.list_(pa.int32())))
         spark_own.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
+    common.check_new(df.select(*keep), *(name for name, _ in own))
     schema = T.StructType([*(df.schema[c] for c in keep), *spark_own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +165,14 @@ def best_fit(lengths: list[int], length: int) -> tuple[list[int], list[int]]:
 
 
 def place(df: DataFrame, rows: int, id_col: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to the `rows` pieces of df."""
+    """Adds sequence_id and offset to the `rows` pieces of df, a table whose rows keep their places."""
     n = max(1, math.ceil(rows / group))
     schema = T.StructType([*df.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    dealt = df.repartition(n, F.xxhash64(id_col, "piece", "start", "ids_crc32")).sortWithinPartitions(F.desc("length"), id_col, "piece", "ids_crc32")
+    common.check_new(df, "sequence_id", "offset")
+    # The row's place in the table spreads rows that are equal in all else.
+    (row,) = common.fresh_name(df, "row")
+    dealt = df.withColumn(row, F.monotonically_increasing_id()).repartition(n, F.xxhash64(id_col, "piece", "start", "ids_crc32", row))
+    dealt = dealt.sortWithinPartitions(F.desc("length"), id_col, "piece", "ids_crc32", row).drop(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -128,7 +128,15 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", learn=None,
     common.bound_batches(docs.sparkSession)
     chosen = sample(labels, column, F.lit(True) if learn is None else learn, id_col, max_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
-    rows = common.stash(_arrays(rows, "text", ["id", "label"]), "statistics").coalesce(FIT_PARTITIONS)
+    made = common.stash(_arrays(rows, "text", ["id", "label"]), "statistics")
+    try:
+        return _fit(made.coalesce(FIT_PARTITIONS))
+    finally:
+        common.drop_stash(made)
+
+
+def _fit(rows: DataFrame) -> Model:
+    """From (id, label, statistics)."""
     width = STATISTICS
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", learn=None,
 def scored(df: DataFrame, model: Model, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Adds double `out`, the probability of label 1, of each whole text."""
     common.bound_batches(df.sparkSession)
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the input already has a column {out}")
+    common.check_new(df, out)
     keep = df.columns if keep is None else keep
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.DoubleType(), False)])
 

@@ -326,11 +326,21 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", learn=None, i
     common.bound_batches(docs.sparkSession)
     chosen = _sample(labels, column, F.lit(True) if learn is None else learn, id_col, max_rows)
     rows = common.stash(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").groupBy("text").agg(F.max("label").alias("label")), "labelled")
+    made = [rows]
+    try:
+        return _fit(rows, made)
+    finally:
+        common.drop_stash(*made)
+
+
+def _fit(rows: DataFrame, made: list[DataFrame]) -> Model:
+    """From (text, label); made gets what is written meanwhile."""
     n = dict(rows.groupBy("label").count().collect())
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Model(None, 0.0, share=n1 / (n1 + n0) if n1 + n0 else 0.5)
     counts = common.stash(_parts(rows).groupBy("whole", "part").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")), "parts")
+    made.append(counts)
     odds = (F.col("toxic") + 0.5) / (n1 + 1.0) / ((F.col("clean") + 0.5) / (n0 + 1.0))
     suspects = counts.filter(~F.col("whole") & (F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * n1))).withColumn("odds", odds).filter(F.col("odds") >= ODDS)
     suspects = {r.part: r.odds for r in suspects.orderBy(F.desc("odds"), "part").limit(MAX_WORDS).collect()}
@@ -376,8 +386,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", learn=None, i
 def scored(df: DataFrame, model: Model, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Adds double `out`, the probability that the whole text is toxic."""
     common.bound_batches(df.sparkSession)
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the input already has a column {out}")
+    common.check_new(df, out)
     keep = df.columns if keep is None else keep
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.DoubleType(), False)])
 
