@@ -1,10 +1,11 @@
-"""Media columns: MPEG-1 Layer III streams that carry a payload, and a parser for such streams.
+"""Media columns: MPEG-1 Layer III streams that carry a payload, and a parser for MPEG audio of all versions (1, 2, 2.5) and layers.
 
 Writing: an ID3v2.3 tag with the payload's length and title, a Xing frame (frame count, byte count, 100 seek points), then
 frames of 32 kHz mono with CRC-16. A frame's main data carries the payload; the last frame takes the smallest bit rate that
-holds the rest, so the stream has a variable bit rate. Reading: the tag is parsed, frame headers are followed by their
-lengths, and after damage the parser scans for the next header whose frame is followed by another header or the end.
-Checksums cover the header's last two bytes and the side information; a frame that fails its checksum gives no payload.
+holds the rest, so the stream has a variable bit rate. Reading: ID3v2.3 and v2.4 tags at the start and an ID3v1 tag at the end are parsed, frame headers are followed by their
+lengths, and after damage the parser scans for the next header whose frame is followed by another header or the end. Xing, Info and VBRI tables
+are read. Checksums cover the header's last two bytes and the side information of Layer III, or the bit allocation of Layer I; a frame that fails its
+checksum gives no payload. Layer II's checksums are not verified (they cover as many bits as its allocation tables say).
 
 Defined results: null payload counts as empty; an empty payload has a tag and a Xing frame. Equal payloads give equal bytes. A stream that is
 null, empty or without frames has zero samples, no offsets and an empty payload. Durations are exact: samples over rate.
@@ -16,6 +17,7 @@ import struct
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +27,22 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from . import common
 
-# Fixed values of the format: MPEG-1 Layer III bit rates (kbit/s) and sampling rates (Hz) by index, samples of a frame.
+# Fixed values of the format: bit rates (kbit/s) by version (1, or 2 and 2.5), layer and index, sampling rates (Hz) of version 1 by index, samples of a frame by layer.
 BIT_RATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+ALL_BIT_RATES = {
+    (1, 1): tuple(range(0, 449, 32)), (1, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384), (1, 3): BIT_RATES,
+    (2, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256), (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160), (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
 SAMPLE_RATES = (44100, 48000, 32000)
 SAMPLES = 1152
 MONO = 3
-SIDE_INFO = {True: 17, False: 32}
+#: Bytes of Layer III's side information by version (1, or 2 and 2.5) and whether there is one channel.
+SIDE_INFO = {(1, True): 17, (1, False): 32, (2, True): 9, (2, False): 17}
 RATE_INDEX = 2
 HEADER, CRC = 4, 2
-HEAD = HEADER + CRC + SIDE_INFO[True]
+HEAD = HEADER + CRC + SIDE_INFO[1, True]
+#: Where a VBRI table begins in a frame, and length of an ID3v1 tag.
+VBRI_AT, ID3V1 = 36, 128
 #: Padding of payloads, in bytes.
 UNIT = 64
 
@@ -49,21 +58,40 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+class Header(NamedTuple):
+    """Of a frame: its length, sampling rate, whether it has a checksum, kbit/s, samples, layer, and the bytes after the header that its checksum covers (0: not known)."""
+
+    length: int
+    rate: int
+    checked: bool
+    kbps: int
+    samples: int
+    layer: int
+    covered: int
+
+
 @lru_cache(4096)
-def parse_header(four: bytes) -> tuple[int, int, bool, bool, int] | None:
-    """(frame length, sampling rate, has checksum, mono, kbit/s) of a header, or None if it is none."""
-    if len(four) < 4 or four[0] != 0xFF or four[1] & 0xFE != 0xFA:
+def parse_header(four: bytes) -> Header | None:
+    if len(four) < 4 or four[0] != 0xFF or four[1] < 0xE0:
         return None
-    bits, rate = four[2] >> 4, four[2] >> 2 & 3
-    if bits in (0, 15) or rate == 3 or four[3] & 3 == 2:
+    version, layer = {0: 2.5, 2: 2, 3: 1}.get(four[1] >> 3 & 3), 4 - (four[1] >> 1 & 3)
+    bits, rate, mode = four[2] >> 4, four[2] >> 2 & 3, four[3] >> 6
+    if version is None or layer == 4 or bits in (0, 15) or rate == 3 or four[3] & 3 == 2:
         return None
-    return 144000 * BIT_RATES[bits] // SAMPLE_RATES[rate] + (four[2] >> 1 & 1), SAMPLE_RATES[rate], not four[1] & 1, four[3] >> 6 == MONO, BIT_RATES[bits]
+    family, hertz, padding = 1 if version == 1 else 2, SAMPLE_RATES[rate] // {1: 1, 2: 2, 2.5: 4}[version], four[2] >> 1 & 1
+    kbps = ALL_BIT_RATES[family, layer][bits]
+    samples = {1: SAMPLES // 3, 2: SAMPLES, 3: SAMPLES // family}[layer]
+    # A slot has four bytes in Layer I, else one.
+    length = (12000 * kbps // hertz + padding) * 4 if layer == 1 else 125 * samples * kbps // hertz + padding
+    # In Layer I: four bits of allocation for each of 32 bands and channel; in joint stereo, channels share those from the bound on.
+    bands = 32 if mode == MONO else 64 if mode != 1 else 32 + 4 * ((four[3] >> 4 & 3) + 1)
+    return Header(length, hertz, not four[1] & 1, kbps, samples, layer, {1: bands // 2, 2: 0, 3: SIDE_INFO[family, mode == MONO]}[layer])
 
 
 @lru_cache(16)
 def frame_head(index: int) -> bytes:
     """Header, checksum and side information of a frame of the bit rate with this index."""
-    header, side = bytes((0xFF, 0xFA, index << 4 | RATE_INDEX << 2, MONO << 6)), bytes(SIDE_INFO[True])
+    header, side = bytes((0xFF, 0xFA, index << 4 | RATE_INDEX << 2, MONO << 6)), bytes(SIDE_INFO[1, True])
     return header + struct.pack(">H", crc16(header[2:] + side)) + side
 
 
@@ -106,25 +134,51 @@ def store_payload(payload: bytes) -> bytes:
 
 
 def _read_tag(data: bytes) -> tuple[int, dict[str, str]]:
-    """(where audio begins, user text fields) of an ID3v2.3 tag at the start."""
+    """(where audio begins, user text fields) of an ID3v2.3 or v2.4 tag at the start."""
     if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127:
         return 0, {}
-    end = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9])
+
+    def syncsafe(at: int) -> int:
+        return data[at] << 21 | data[at + 1] << 14 | data[at + 2] << 7 | data[at + 3]
+
+    newer = data[3] >= 4
+    end = 10 + syncsafe(6)
     fields, at = {}, 10
+    if data[5] & 0x40 and len(data) >= 14:
+        at += syncsafe(10) if newer else 4 + struct.unpack_from(">I", data, 10)[0]
     while at + 10 <= min(end, len(data)) and data[at] != 0:
-        (n,) = struct.unpack_from(">I", data, at + 4)
-        if data[at : at + 4] == b"TXXX" and data[at + 10 : at + 11] == b"\x00":
+        n = syncsafe(at + 4) if newer else struct.unpack_from(">I", data, at + 4)[0]
+        if data[at : at + 4] == b"TXXX" and data[at + 10 : at + 11] in (b"\x00", b"\x03"):
             key, _, value = data[at + 11 : at + 10 + n].partition(b"\x00")
-            fields[key.decode("latin-1")] = value.decode("latin-1")
+            coding = "utf-8" if data[at + 10] else "latin-1"
+            fields[key.decode(coding, "replace")] = value.decode(coding, "replace")
         at += 10 + n
+    end += 10 * bool(newer and data[5] & 0x10)
     return min(end, len(data)), fields
 
 
+def _read_table(data: bytes, at: int, head: Header) -> dict | None:
+    """A variable-bitrate table in a Layer III frame: Xing or Info behind the side information, or VBRI at its place."""
+    if head.layer != 3:
+        return None
+    body = at + HEADER + CRC * head.checked + head.covered
+    if data[body : body + 4] in (b"Xing", b"Info") and body + 8 <= at + head.length:
+        flags, found, field = struct.unpack_from(">I", data, body + 4)[0], {}, body + 8
+        for bit, key, form in ((1, "frames", ">I"), (2, "bytes", ">I"), (4, "seek", ">100s")):
+            if flags & bit and field + struct.calcsize(form) <= at + head.length:
+                (found[key],) = struct.unpack_from(form, data, field)
+                field += struct.calcsize(form)
+        return found
+    if data[at + VBRI_AT : at + VBRI_AT + 4] == b"VBRI" and VBRI_AT + 18 <= head.length:
+        return dict(zip(("bytes", "frames"), struct.unpack_from(">II", data, at + VBRI_AT + 10)))
+    return None
+
+
 def _resync(data: bytes, at: int) -> int:
     """The next place of a frame that another header or the end follows; the data's length if there is none."""
     while (at := data.find(b"\xff", at)) >= 0:
         if head := parse_header(data[at : at + 4]):
-            after = at + head[0]
+            after = at + head.length
             if after == len(data) or after < len(data) and parse_header(data[after : after + 4]):
                 return at
         at += 1
@@ -132,42 +186,38 @@ def _resync(data: bytes, at: int) -> int:
 
 
 def parse(data: bytes | None) -> dict:
-    """Tag, Xing table, frames, checksums, exact duration, seek offsets and payload of a stream."""
+    """Tag, table, frames, checksums, exact duration, seek offsets and payload of a stream."""
     data = data or b""
     at, tag = _read_tag(data)
-    offsets, bodies, samples, bad, lost, bits, xing, by_rate = [], [], 0, 0, 0, 0, None, {}
+    if data[-ID3V1:-ID3V1 + 3] == b"TAG" and len(data) - at >= ID3V1:
+        data = data[:-ID3V1]
+    offsets, bodies, samples, bad, lost, bits, table, by_rate = [], [], 0, 0, 0, 0, None, {}
     while at < len(data):
         head = parse_header(data[at : at + 4])
-        if not head or at + head[0] > len(data):
+        if not head or at + head.length > len(data):
             after = _resync(data, at + 1)
             lost, at = lost + after - at, after
             continue
-        length, rate, checked, mono, kbps = head
-        side = at + HEADER + CRC * checked
-        body = side + SIDE_INFO[mono]
-        good = not checked or struct.unpack_from(">H", data, at + HEADER)[0] == crc16(data[at + 2 : at + HEADER] + data[side:body])
-        if xing is None and not offsets and data[body : body + 4] in (b"Xing", b"Info"):
-            flags, at_field = struct.unpack_from(">I", data, body + 4)[0], body + 8
-            xing = {}
-            for bit, key, form in ((1, "frames", ">I"), (2, "bytes", ">I"), (4, "seek", ">100s")):
-                if flags & bit:
-                    (xing[key],) = struct.unpack_from(form, data, at_field)
-                    at_field += struct.calcsize(form)
+        side = at + HEADER + CRC * head.checked
+        body = side + (head.covered if head.layer == 3 else 0)
+        good = not (head.checked and head.covered) or struct.unpack_from(">H", data, at + HEADER)[0] == crc16(data[at + 2 : at + HEADER] + data[side : side + head.covered])
+        if table is None and not offsets and (found := _read_table(data, at, head)) is not None:
+            table = found
         else:
             offsets.append(at)
-            samples += SAMPLES
-            bits += kbps
-            by_rate[rate] = by_rate.get(rate, 0) + SAMPLES
+            samples += head.samples
+            bits += head.kbps
+            by_rate[head.rate] = by_rate.get(head.rate, 0) + head.samples
             if good:
-                bodies.append(data[body : at + length])
+                bodies.append(data[body : at + head.length])
         bad += not good
-        at += length
+        at += head.length
     payload, duration = b"".join(bodies), sum((Fraction(n, rate) for rate, n in by_rate.items()), Fraction(0))
     if "payload_bytes" in tag and tag["payload_bytes"].isdigit():
         payload = payload[: int(tag["payload_bytes"])]
     return {
         "payload": payload, "frames": len(offsets), "samples": samples, "duration_num": duration.numerator, "duration_den": duration.denominator,
-        "seek_offsets": offsets, "bad_checksums": bad, "lost_bytes": lost, "table_frames": xing.get("frames") if xing else None, "table_bytes": xing.get("bytes") if xing else None,
+        "seek_offsets": offsets, "bad_checksums": bad, "lost_bytes": lost, "table_frames": table.get("frames") if table else None, "table_bytes": table.get("bytes") if table else None,
         "mean_kbps": bits / len(offsets) if offsets else 0.0,
     }
 
@@ -177,9 +227,10 @@ PARSED = from_arrow_type(_ARROW)
 
 
 def store(df: DataFrame, payload: str = "payload", out: str = "media", keep: list[str] | None = None) -> DataFrame:
-    """Adds binary `out`: the stream that carries each payload."""
+    """Adds binary `out`: the stream that carries each payload. ValueError if the input has such a column."""
     common.bound_batches(df.sparkSession)
     keep = df.columns if keep is None else keep
+    common.check_new(df.select(*keep), out)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +242,10 @@ def store(df: DataFrame, payload: str = "payload", out: str = "media", keep: lis
 
 
 def read_back(df: DataFrame, media: str = "media", out: str = "audio", keep: list[str] | None = None) -> DataFrame:
-    """Adds struct `out` with what parse() finds in each stream."""
+    """Adds struct `out` with what parse() finds in each stream. ValueError if the input has such a column."""
     common.bound_batches(df.sparkSession)
     keep = df.columns if keep is None else keep
+    common.check_new(df.select(*keep), out)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, PARSED, False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,23 @@ def test_random_strings(count):
         assert secrets.scan_text(f"see {t} here", count) == [], t
 
 
+def test_random_strings_of_any_letters(count):
+    rng, found = random.Random(9), 0
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+    for k in range(400):
+        run = "".join(rng.choice(alphabets[k % 4]) for _ in range(rng.choice([20, 32, 40])))
+        found += [s[0] for s in secrets.scan_text(f"see {run} here", count)] == ["random"]
+    assert found >= 0.97 * 400
+    for name in ("MAX_SUB_COMMAND_LENGTH", "ARRAY_CREATE_SUB_COMMAND_NAME", "sendMessageToEveryUser2", "a/path/of/several/words"):
+        assert secrets.scan_text(name, count) == [], name
+
+
+def test_long_texts_with_many_spans(count):
+    text = "token=abcdefgh0123 " * 20_000 + "q9Xv2LmZ7tKp4WbR8nYc"
+    spans = secrets.scan_text(text, count)
+    assert len(spans) == 20_001 and spans[-1][0] == "random"
+
+
 def test_scan_and_redact(docs, vocabulary):
     texts = [None, "", "nothing here", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', "é token: abcdefgh é", "a", "a"]
     df = docs(texts)
@@ -150,3 +167,42 @@ def test_columns(spark):
     assert len(rows) == 4 and all(bytes(r.audio.payload) == bytes(r.payload or b"") for r in rows)
     assert media.read_back(spark.createDataFrame([(None,), (b"",), (b"junk",)], "media binary")).filter("audio.frames = 0").count() == 3
     assert media.store(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "second, rate, bits, samples",
+    [(0xFD, 44100, 8, 1152), (0xFF, 44100, 8, 384), (0xF3, 22050, 8, 576), (0xE3, 11025, 8, 576), (0xF5, 24000, 8, 1152), (0xFB, 44100, 9, 1152)],
+)
+def test_other_versions_and_layers(second, rate, bits, samples):
+    # Version 1 Layers II and I, version 2 Layer III, 2.5 Layer III, version 2 Layer II, version 1 Layer III, all without checksum.
+    third = bits << 4 | (1 if rate in (24000, 48000) else 0) << 2
+    head = media.parse_header(bytes((0xFF, second, third, 0xC0)))
+    kbps = head.kbps
+    assert head.rate == rate and head.samples == samples and not head.checked
+    assert head.length == (12000 * kbps // rate * 4 if head.layer == 1 else samples // 8 * 1000 * kbps // rate)
+    frame = bytes((0xFF, second, third, 0xC0)).ljust(head.length, b"\0")
+    found = media.parse(frame * 5 + b"TAG" + bytes(125))
+    assert (found["frames"], found["samples"], found["lost_bytes"], found["seek_offsets"][1]) == (5, 5 * samples, 0, head.length)
+    assert found["duration_num"] * rate == found["samples"] * found["duration_den"]
+
+
+def test_layer_one_checksum_and_tables():
+    header = bytes((0xFF, 0xFE, 0x80, 0xC0))
+    allocation = bytes(range(16))
+    crc = media.crc16(header[2:] + allocation).to_bytes(2, "big")
+    size = media.parse_header(header).length
+    frame = (header + crc + allocation).ljust(size, b"\0")
+    broken = bytearray(frame)
+    broken[8] ^= 1
+    found = media.parse(frame + bytes(broken) + frame)
+    assert (found["frames"], found["bad_checksums"], found["lost_bytes"]) == (3, 1, 0)
+    plain = bytes((0xFF, 0xFB, 0x90, 0x00))
+    size = media.parse_header(plain).length
+    table = (plain.ljust(media.VBRI_AT, b"\0") + b"VBRI" + bytes(6) + (3 * size).to_bytes(4, "big") + (2).to_bytes(4, "big")).ljust(size, b"\0")
+    # An ID3v2.4 tag: sizes of seven bits a byte, text in UTF-8.
+    text = b"\x03payload_bytes\x005" + bytes(150)
+    tag_frame = b"TXXX" + media._syncsafe(len(text)) + b"\0\0" + text
+    stream = b"ID3\x04\0\0" + media._syncsafe(len(tag_frame)) + tag_frame + table + plain.ljust(size, b"x") * 2
+    assert media._read_tag(stream)[1]["payload_bytes"].startswith("5")
+    found = media.parse(stream)
+    assert (found["frames"], found["table_frames"], found["table_bytes"], found["lost_bytes"]) == (2, 2, 3 * size, 0)
