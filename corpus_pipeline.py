@@ -68,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, common.stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.drop_stash(before)
     return docs
