@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import articles, blocks, candidates, clustering, jobs, layout, pair_text, scoring
 from ..schemas import FEATURES, PAIR_COLUMNS
-from ..sources import sinks, tables
+from ..sources import images, sinks, tables
 from . import oracles as O
 from .run import Config, run
-from ..settle import settled
+from ..settle import new_path, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, tuple[Query, str | None]] = {}
@@ -472,6 +472,141 @@ def _(spark, sf_dir):
     return jobs.with_progress(named).groupBy("stage", "progress").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_jobs"))
 
 
+# Tables that are written and read again.
+
+
+def _as_csv(spark: SparkSession, name: str, df: DataFrame) -> str:
+    return sinks.write_tables({name: df}, new_path(spark))[f"{name}_csv"]
+
+
+def _typed(df: DataFrame, like: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns of text with the types of another table's."""
+    return df.select(*(F.col(c).cast(like.schema[c].dataType).alias(c) for c in columns))
+
+
+_PAGE_COLUMNS = "newspaper_id, image_id, page_number, page_filename, image_path, page_width, page_height"
+
+
+@_query("pages_csv", O.after("blocks", f"SELECT DISTINCT {_PAGE_COLUMNS.replace('image_path', 'page_filename AS image_path')} FROM p"))
+def _(spark, sf_dir):
+    return tables.pages_csv(spark, _as_csv(spark, "pages", tables.pages_of(_detected(spark, sf_dir))))
+
+
+@_query("blocks_csv", O.after("nms", "SELECT newspaper_id, image_id, page_number, block_id, class_id, class_name, confidence, x1, y1, x2, y2, width, height, center_x, center_y, concat('[', x1, ',', y1, ',', x2, ',', y2, ']') AS bbox FROM n"))
+def _(spark, sf_dir):
+    some = blocks.suppress(_prepared(spark, sf_dir).drop("ocr_text")).drop("ord")
+    return tables.blocks_csv(spark, _as_csv(spark, "blocks", some)).drop("ord", "page_filename", "image_path", "image_path_in_zip", "page_width", "page_height")
+
+
+@_query("inferred_columns_csv", O.after("columns", f"SELECT page_key, column_id, {_sql6(['x1', 'x2', 'center_x'])} FROM c"))
+def _(spark, sf_dir):
+    some = layout.columns(_settled(spark, sf_dir))
+    read = tables.strings_csv(spark, _as_csv(spark, "inferred_page_columns", some), some.columns)
+    return _typed(read, some, some.columns).select("page_key", "column_id", *map(r6, ("x1", "x2", "center_x")))
+
+
+@_query("candidate_pairs_csv", O.after("pairs", "SELECT pair_id, left_block_id, right_block_id, candidate_sources, reading_order_delta, round(x_overlap_ratio, 6) AS x_overlap_ratio, round(vertical_gap_norm, 6) AS vertical_gap_norm FROM pr"))
+def _(spark, sf_dir):
+    some = _pairs(spark, sf_dir)
+    read = tables.strings_csv(spark, _as_csv(spark, "candidate_block_pairs", some), some.columns)
+    own = ["pair_id", "left_block_id", "right_block_id", "candidate_sources", "reading_order_delta", "x_overlap_ratio", "vertical_gap_norm"]
+    return _typed(read, some, own).select(*own[:5], *map(r6, own[5:]))
+
+
+@_query("pair_predictions_csv", O.after("pairs", "SELECT pair_id, probability_same_article, prediction, 0.5::DOUBLE AS prediction_threshold FROM sd", O.SCORED))
+def _(spark, sf_dir):
+    some = _scored(spark, sf_dir)
+    read = tables.strings_csv(spark, _as_csv(spark, "pair_predictions", some), some.columns)
+    return _typed(read, some, ["pair_id", "probability_same_article", "prediction", "prediction_threshold"])
+
+
+@_query("block_clusters_csv", O.after("pairs", "SELECT block_id, predicted_cluster_id, predicted_cluster_size, x1, y1 FROM cl", O.SCORED, O.CLUSTERED))
+def _(spark, sf_dir):
+    some = _run(spark, sf_dir).clusters
+    read = tables.strings_csv(spark, _as_csv(spark, "block_clusters", some), some.columns)
+    return _typed(read, some, ["block_id", "predicted_cluster_id", "predicted_cluster_size", "x1", "y1"])
+
+
+_READ = ", ".join(f"'{c}'" for c in images.OCR_CLASSES)
+
+
+@_query("block_ocr_csv", O.after("blocks", f"SELECT block_id, class_name, CAST(NULL AS VARCHAR) AS ocr_text, CASE WHEN class_name IN ({_READ}) THEN 'ocr_disabled' ELSE 'non_text' END AS ocr_error FROM p"))
+def _(spark, sf_dir):
+    """Without a reader; an empty text is no text in CSV."""
+    some = images.block_text(_prepared(spark, sf_dir))
+    return tables.strings_csv(spark, _as_csv(spark, "block_ocr", some), some.columns)
+
+
+@_query("pair_text_csv", O.after("pairs", "SELECT pair_id, round(coalesce(s, 0.0), 6) AS ocr_cosine_similarity FROM pr LEFT JOIN (SELECT pair_id, sum(a.weight * b.weight) AS s FROM pr JOIN x a ON a.block_id = left_block_id JOIN x b ON b.block_id = right_block_id AND a.term = b.term GROUP BY 1) USING (pair_id)", *O.terms(True, pair_text.MOST_TERMS)))
+def _(spark, sf_dir):
+    """The text features that need no Python, as the run makes them."""
+    placed = _geometry_layout(spark, sf_dir)
+    some = pair_text.features(settled(candidates.pairs(placed)), _texts(spark, sf_dir, placed), False, settled)
+    read = tables.strings_csv(spark, _as_csv(spark, "pairwise_ocr_features", some), some.columns)
+    return _typed(read, some, ["pair_id", "ocr_cosine_similarity"]).select("pair_id", r6("ocr_cosine_similarity"))
+
+
+@_query("export_json_rows", _articles_sql("SELECT article_id, confidence, detection_ids, page_ids FROM ar"))
+def _(spark, sf_dir):
+    path = new_path(spark)
+    sinks.export_articles(_run(spark, sf_dir).articles(), path, "json")
+    read = spark.read.schema("article_id string, confidence double, detection_ids array<string>, page_ids array<string>").json(path)
+    return read.select("article_id", "confidence", *_joined())
+
+
+@_query("export_xml_rows", _articles_sql("SELECT article_id, confidence, detection_ids, page_ids FROM ar"))
+def _(spark, sf_dir):
+    path = new_path(spark)
+    sinks.export_articles(_run(spark, sf_dir).articles(), path, "xml")
+    one = "struct<{0}: array<struct<_id: string>>>"
+    read = spark.read.format("xml").option("rowTag", "article").schema(f"_id string, _confidence double, detections {one.format('detection')}, pages {one.format('page')}").load(path)
+
+    def ids(column: str, tag: str) -> Column:
+        return F.array_join(F.transform(f"{column}.{tag}", lambda x: x["_id"]), "|")
+
+    return read.select(F.col("_id").alias("article_id"), F.col("_confidence").alias("confidence"), ids("detections", "detection").alias("detection_ids"), ids("pages", "page").alias("page_ids"))
+
+
+@_query("visualization_payload", _articles_sql("SELECT newspaper_id, (SELECT count(*) FROM l WHERE l.newspaper_id = x.newspaper_id) AS blocks, (SELECT string_agg(article_id, '|' ORDER BY article_id) FROM ar WHERE ar.newspaper_id = x.newspaper_id) AS articles FROM (SELECT DISTINCT newspaper_id FROM l) x"))
+def _(spark, sf_dir):
+    done = _run(spark, sf_dir)
+    made = sinks.payload({"blocks": done.blocks, "articles": done.articles()})
+    read = F.from_json("payload", "blocks array<struct<block_id: string>>, articles array<struct<article_id: string>>").alias("p")
+    found = made.select("newspaper_id", read)
+    return found.select("newspaper_id", F.size("p.blocks").cast("long").alias("blocks"), F.array_join(F.array_sort("p.articles.article_id"), "|").alias("articles"))
+
+
+#: Two trees of one split each, for the scorer that runs boosted trees.
+_STUMPS = [("x_overlap_ratio", 0.5, -0.5, 0.75), ("vertical_gap_norm", 0.05, 1.0, -1.25)]
+
+
+def _stumps() -> scoring.Trees:
+    names = [name for name, *_ in _STUMPS]
+    trees = [{"left_children": [1, -1, -1], "right_children": [2, -1, -1], "split_indices": [i, 0, 0], "split_conditions": [at, low, high], "default_left": [1, 0, 0]} for i, (_, at, low, high) in enumerate(_STUMPS)]
+    return scoring.Trees({"learner": {"feature_names": names, "learner_model_param": {"base_score": "5E-1"}, "gradient_booster": {"model": {"trees": trees}}}})
+
+
+_STUMPS_SQL = " + ".join(f"CASE WHEN CAST({name} AS FLOAT) < CAST({at} AS FLOAT) THEN {low} ELSE {high} END" for name, at, low, high in _STUMPS)
+
+
+@_query("pair_score_trees", O.after("pairs", f"SELECT pair_id, round(1 / (1 + exp(-({_STUMPS_SQL})::DOUBLE)), 5) AS probability, CAST(1 / (1 + exp(-({_STUMPS_SQL})::DOUBLE)) >= 0.6 AS INT) AS prediction FROM pr"))
+def _(spark, sf_dir):
+    made = scoring.score(_pairs(spark, sf_dir), _stumps(), 0.6)
+    return made.select("pair_id", F.round("probability_same_article", 5).alias("probability"), "prediction")
+
+
+@_query("first_of_repeated_blocks", O.after("blocks", "SELECT block_id, ord FROM (SELECT concat(newspaper_id, class_name) AS block_id, ord, row_number() OVER (PARTITION BY newspaper_id, class_name ORDER BY ord) AS rn FROM p) WHERE rn = 1"))
+def _(spark, sf_dir):
+    """Blocks of one class of a newspaper share an id here."""
+    some = _detected(spark, sf_dir).withColumn("block_id", F.concat("newspaper_id", "class_name"))
+    return pair_text.distinct_blocks(some).select("block_id", "ord")
+
+
+@_query("text_collapse", "SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS hash FROM documents")
+def _(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(F.encode(X.collapse("text"), "utf-8")).alias("hash"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _found.items()}
 

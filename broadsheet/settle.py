@@ -27,11 +27,17 @@ def _folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder, which is deleted by forget()."""
+    path = f"{_folder(spark)}/broadsheet/settled-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The DataFrame as a written table in the shared folder. It stays there until forget(), at the latest the program's end."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/broadsheet/settled-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
