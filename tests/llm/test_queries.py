@@ -191,6 +191,19 @@ def test_op7_without_telling_names(spark):
     assert same >= 0.9 * every
 
 
+def test_op7_adverts_inside_do_not_end_the_article(spark):
+    # None of these elements stands inside of an article on the pages that the weights come from.
+    costs, default = extract.learn(common.table(spark, SF, "pages"))
+    long = " ".join(["word"] * 60)
+    page = (
+        f"<body><nav><a>{long}</a></nav><article><h1>Head</h1><p>{long}</p><div class='ad'><ul><li><a>Buy {long}</a></li></ul></div><p>Then.</p><form><select><option>{long}</option></select></form>"
+        f"<table><tr><td>a</td><td>b</td></tr></table><aside><p>{long}</p></aside><ul><li><a>End</a></li></ul></article><footer>{long}</footer></body>"
+    )
+    assert extract.main_text(page, costs, default) == f"Head\n\n{long}\n\nThen.\n\na b\n\nEnd"
+    two = f"<main><article><p>{long} one</p></article><article><p>few words</p></article></main>"
+    assert extract.main_text(two, costs, default) == f"{long} one"
+
+
 def test_op9(spark, texts):
     got = rows_of(toxicity.query(spark, SF))
     assert got.keys() == texts.keys()
