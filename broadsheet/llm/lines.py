@@ -212,10 +212,11 @@ def _queue(tokens: DataFrame) -> DataFrame:
 def _partners(tokens: DataFrame, similar: int) -> DataFrame:
     """(x, hot, y, like): for classes x that may match one of the earlier classes under a token of theirs, the one most like it.
 
-    A class that may match the first one is held against no other one there, and neither is a class behind HOT others: such a token comes as hot, with x null.
+    A class that may match the first one is held against no other one there, and neither is a class behind HOT others: such a token comes as hot, with x null,
+    whether or not the class that stands right behind the HOT ones may match the first, as those behind it may be unlike.
     """
     match = _may_match(similar, "", "head_") & (F.col("head_key") < F.col("key"))
-    queue = _queue(tokens).filter(F.col("turn") <= HOT + 1).withColumns({"over": (F.col("turn") > HOT) & ~match, "match": match})
+    queue = _queue(tokens).filter(F.col("turn") <= HOT + 1).withColumns({"over": F.col("turn") > HOT, "match": match})
     queue = queue.select(*tokens.columns, "over", F.when(F.col("over") | F.col("match"), F.col("head_key")).alias("only"))
     met = _met(queue, tokens).filter(F.when(F.col("a.only").isNotNull(), F.col("b.key") == F.col("a.only")).otherwise(_may_match(similar, "a.", "b.")))
     return _best(met.select(F.when(~F.col("a.over"), F.col("a.key")).alias("x"), F.when(F.col("a.over"), F.col("a.token")).alias("hot"), F.col("b.key").alias("y"), _likeness("a.", "b.").alias("like")))

@@ -205,6 +205,16 @@ def test_lines_crowded_words(docs, monkeypatch):
     assert [rows[i] for i in range(len(texts))] == brute_lines(texts)
 
 
+def test_lines_behind_a_match(docs, monkeypatch):
+    # Under "key", the class right behind HOT others is like the first; the two behind it are like each other alone, and share no other word of their prefixes.
+    monkeypatch.setattr(lines, "HOT", 3)
+    head, one, two, pair = ([f"{x}{i}" for i in range(9 if x != "s" else 7)] for x in "hpqs")
+    queue = [["key", *head], ["key", *one], ["key", *two], ["key", *head, "more"], ["key", *pair], ["own1", "own2", "key", *pair]]
+    texts = ["\n".join([*head, *one, *two, *pair, "more"] * 40)] + [" ".join(words) for words in queue]
+    rows = {r.doc_id: r.text for r in lines.dedup(docs(texts)).collect()}
+    assert rows[len(texts) - 1] == "" and [rows[i] for i in range(len(texts))] == brute_lines(texts)
+
+
 def test_lines_long_texts_and_repeats(docs):
     # 70,000 lines in one text, of which every third is new; the same text again loses all its lines.
     many = "\n".join(f"w{i // 3} x{i // 3} y{i // 3} z{i // 3}" for i in range(70_000))
