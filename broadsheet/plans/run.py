@@ -74,7 +74,7 @@ class Run:
 def run(found: DataFrame, config: Config = Config()) -> Run:
     """found: detected blocks with `ord`, and with ocr_text where text features are wanted.
 
-    Suppressed and annotated blocks and scored pairs, which several tables need, are written once, without texts; pairs and weights of terms too
+    Suppressed and annotated blocks and scored pairs, which several tables need, are written once, without texts; pairs too
     where there are text features. Texts come back to blocks by block_id and `ord`, so `ord` may begin anew on each page.
     """
     texts = [c for c in ("ocr_text",) if c in found.columns]
@@ -86,7 +86,7 @@ def run(found: DataFrame, config: Config = Config()) -> Run:
     pairs = settled(pairs) if with_text else pairs
     if texts:
         placed = placed.join(found.select("block_id", "ord", *texts), ["block_id", "ord"])
-    ready = pair_text.merge(pairs, pair_text.features(pairs, placed, config.sequence, settled)) if with_text else pairs
+    ready = pair_text.merge(pairs, pair_text.features(pairs, placed, config.sequence)) if with_text else pairs
     scored = settled(scoring.score(ready, config.model(), config.cut()))
     clusters, scored = clustering.cluster(placed, scored, config.method, config.validate, config.validation, config.resolution, config.seed)
     return Run(tables.pages_of(found), placed, columns, pairs, scored, clusters)
