@@ -127,13 +127,21 @@ TEXTS = 256
 _MADE = {"words": "ocr_cosine_similarity double", "text": "text_similarity double", "entities": "entity_overlap double", "keywords": "shared_keywords int"}
 
 
-def _compared(pairs: DataFrame, blocks: DataFrame, keys: tuple[str, ...], names: tuple[str, ...], most: int = MOST_TERMS, order: str = "ord") -> DataFrame:
+def _compared(pairs: DataFrame, blocks: DataFrame, keys: tuple[str, ...], names: tuple[str, ...], most: int = MOST_TERMS, kept: DataFrame | None = None, order: str = "ord") -> DataFrame:
     """(pair_id, a feature for each of the names) of every pair. A block without a row, as one without text, has no words, entities and keywords; of rows that share a block_id the first by `order` counts.
+    kept: (keys, block_id, order) of the blocks that count; the others' texts are left out where they have come to, as joining moves texts once more.
 
     keys: the columns of newspapers or pages, whose pairs and blocks come together.
     """
 
+    some_kept = kept is not None
+
     def compare(group: tuple[pa.Scalar, ...], pairs: pa.Table, blocks: pa.Table) -> pa.Table:
+        if some_kept:
+            ids = list(zip(blocks.column("block_id").to_pylist(), blocks.column(order).to_pylist()))
+            here = blocks.column("here").to_pylist()
+            wanted = {x for x, h in zip(ids, here) if h}
+            blocks = blocks.filter(pa.array([not h and x in wanted for x, h in zip(ids, here)], pa.bool_()))
         blocks = blocks.take(pc.sort_indices(blocks, [(order, "ascending")], null_placement="at_start")).combine_chunks()
         place: dict[str | None, int] = {}
         for k, b in enumerate(blocks.column("block_id").to_pylist()):
@@ -172,29 +180,32 @@ def _compared(pairs: DataFrame, blocks: DataFrame, keys: tuple[str, ...], names:
         "words": F.nullif(F.array_join(X.terms("ocr_text"), " "), F.lit("")), "text": X.normalize("ocr_text"),
         "entities": X.entities("ocr_text"), "keywords": X.keywords("ocr_text"),
     }
-    moved = blocks.select(*keys, "block_id", order, "ocr_text").repartition(*keys).select(*keys, "block_id", order, *(own[x].alias(x) for x in names))
+    texts = blocks.select(*keys, "block_id", order, "ocr_text", F.lit(False).alias("here"))
+    if kept is not None:
+        texts = texts.union(kept.select(*keys, "block_id", order, F.lit(None).cast("string"), F.lit(True)))
+    moved = texts.repartition(*keys).select(*keys, "block_id", order, "here", *(own[x].alias(x) for x in names))
     some = pairs.select(*keys, "pair_id", "left_block_id", "right_block_id")
     kind = some.schema["pair_id"].dataType.simpleString()
     return some.groupBy(*keys).cogroup(moved.groupBy(*keys)).applyInArrow(compare, f"pair_id {kind}, " + ", ".join(_MADE[x] for x in names))
 
 
-def cosines(pairs: DataFrame, blocks: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+def cosines(pairs: DataFrame, blocks: DataFrame, most: int = MOST_TERMS, kept: DataFrame | None = None) -> DataFrame:
     """(pair_id, ocr_cosine_similarity) for pairs that share a term."""
-    return _compared(pairs, blocks, ("newspaper_id",), ("words",), most).filter("ocr_cosine_similarity IS NOT NULL")
+    return _compared(pairs, blocks, ("newspaper_id",), ("words",), most, kept).filter("ocr_cosine_similarity IS NOT NULL")
 
 
-def sequence_ratios(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+def sequence_ratios(pairs: DataFrame, blocks: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """(pair_id, text_similarity) of every pair, with a page's pairs in one task."""
-    return _compared(pairs, blocks, ("newspaper_id", "image_id"), ("text",))
+    return _compared(pairs, blocks, ("newspaper_id", "image_id"), ("text",), kept=kept)
 
 
-def features(pairs: DataFrame, blocks: DataFrame, sequence: bool = True, most: int = MOST_TERMS) -> DataFrame:
+def features(pairs: DataFrame, blocks: DataFrame, sequence: bool = True, most: int = MOST_TERMS, kept: DataFrame | None = None) -> DataFrame:
     """(pair_id, ocr_cosine_similarity, text_similarity, entity_overlap, shared_keywords) of every pair; blocks without a row have empty text.
 
     sequence: without it text_similarity is 0.
     """
     names = ("words", "text", "entities", "keywords") if sequence else ("words", "entities", "keywords")
-    return _compared(pairs, blocks, ("newspaper_id",), names, most).select(
+    return _compared(pairs, blocks, ("newspaper_id",), names, most, kept).select(
         "pair_id",
         F.coalesce("ocr_cosine_similarity", F.lit(0.0)).alias("ocr_cosine_similarity"),
         F.col("text_similarity") if sequence else F.lit(0.0).alias("text_similarity"),

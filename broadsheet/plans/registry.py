@@ -53,7 +53,7 @@ def _geometry_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _texts(spark: SparkSession, sf_dir: str, placed: DataFrame) -> DataFrame:
     """The annotated blocks' texts, which take no part in the layout."""
-    return placed.select("newspaper_id", "image_id", "block_id", "ord").join(_detected(spark, sf_dir).select("block_id", "ord", "ocr_text"), ["block_id", "ord"])
+    return placed.select("newspaper_id", "block_id", "ord").join(_detected(spark, sf_dir).select("block_id", "ord", "ocr_text"), ["block_id", "ord"])
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,13 +219,13 @@ def _(spark, sf_dir):
 @_query("tfidf_cosine", O.after("pairs", "SELECT pair_id, round(sum(a.weight * b.weight), 6) AS ocr_cosine_similarity FROM pr JOIN x a ON a.block_id = left_block_id JOIN x b ON b.block_id = right_block_id AND a.term = b.term GROUP BY 1", *O.terms(True, pair_text.MOST_TERMS)))
 def _(spark, sf_dir):
     placed = _geometry_layout(spark, sf_dir)
-    return pair_text.cosines(candidates.pairs(placed), _texts(spark, sf_dir, placed)).select("pair_id", r6("ocr_cosine_similarity"))
+    return pair_text.cosines(candidates.pairs(placed), _detected(spark, sf_dir), kept=placed).select("pair_id", r6("ocr_cosine_similarity"))
 
 
 @_query("sequence_ratio")
 def _(spark, sf_dir):
     placed = _geometry_layout(spark, sf_dir)
-    return pair_text.sequence_ratios(candidates.pairs(placed), _texts(spark, sf_dir, placed)).select("pair_id", F.round("text_similarity", 6).alias("text_similarity"))
+    return pair_text.sequence_ratios(candidates.pairs(placed), _detected(spark, sf_dir), placed).select("pair_id", F.round("text_similarity", 6).alias("text_similarity"))
 
 
 _MATRIX = [c for c in FEATURES if c not in ("ocr_cosine_similarity", "text_similarity", "entity_overlap", "shared_keywords")]
@@ -537,7 +537,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The text features that need no Python, as the run makes them."""
     placed = _geometry_layout(spark, sf_dir)
-    some = pair_text.features(candidates.pairs(placed), _texts(spark, sf_dir, placed), False)
+    some = pair_text.features(candidates.pairs(placed), _detected(spark, sf_dir), False, kept=placed)
     read = tables.strings_csv(spark, _as_csv(spark, "pairwise_ocr_features", some), some.columns)
     return _typed(read, some, ["pair_id", "ocr_cosine_similarity"]).select("pair_id", r6("ocr_cosine_similarity"))
 

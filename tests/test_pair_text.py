@@ -92,3 +92,8 @@ def test_features_of_pairs(spark, most):
     ratios = {r.pair_id: r.text_similarity for r in pair_text.sequence_ratios(table, blocks).collect()}
     assert ratios == {k: r.text_similarity for k, r in got.items()}
     assert {r.text_similarity for r in pair_text.features(table, blocks, False).collect()} == {0.0}
+    # Blocks that are not kept are no part of the corpus.
+    some = blocks.filter("newspaper_id = 'p' AND ord < 6")
+    cut = {b: t for b, t in list(papers["p"].items())[:6]}
+    got = {r.pair_id: r.ocr_cosine_similarity for r in pair_text.features(table.filter("newspaper_id = 'p'"), blocks, False, most, some).collect()}
+    assert {k: round(c, 9) for k, c in got.items()} == {f"{a}-{b}": round(brute_cosine(cut, a, b, most) or 0.0, 9) for p, _, a, b in pairs if p == "p"}
