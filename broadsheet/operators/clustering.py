@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -65,13 +65,26 @@ class Components:
         return sorted((sorted(m) for m in self.members.values()), key=lambda m: (m[0], len(m)))
 
 
+#: A block's tokens as joined_tokens() makes them; blocks that have this column need no text.
+TOKENS = "cluster_tokens"
+
+
+def joined_tokens(text: str) -> Column:
+    """Tokens, which have no spaces, with spaces between."""
+    return F.array_join(X.cluster_tokens(text), " ")
+
+
 def _rows(blocks: DataFrame, scored: DataFrame, tokens: bool = False) -> DataFrame:
     """Blocks and pairs of pages in one table, so that a page's group has both."""
     # Pairs without text features count as pairs of unlike texts.
-    edges = scored.select(*PAGE, *((F.col(c) if c in scored.columns else F.lit(0.0 if c == "text_similarity" else None)).cast(t).alias(c) for c, t in _EDGE.items()), F.lit(None).cast("string").alias("block_id"), F.lit(None).cast("array<string>").alias("tokens"))
-    words = X.cluster_tokens("ocr_text") if tokens and "ocr_text" in blocks.columns else F.lit(None)
-    vertices = blocks.select(*PAGE, *(F.lit(None).cast(t).alias(c) for c, t in _EDGE.items()), "block_id", words.cast("array<string>").alias("tokens"))
-    return vertices.unionByName(edges)
+    edges = scored.select(*PAGE, *((F.col(c) if c in scored.columns else F.lit(0.0 if c == "text_similarity" else None)).cast(t).alias(c) for c, t in _EDGE.items()), F.lit(None).cast("string").alias("block_id"), F.lit(None).cast("string").alias("tokens"))
+    words = F.lit(None)
+    if tokens and (TOKENS in blocks.columns or "ocr_text" in blocks.columns):
+        words = F.col(TOKENS) if TOKENS in blocks.columns else joined_tokens("ocr_text")
+    vertices = blocks.select(*PAGE, *(F.lit(None).cast(t).alias(c) for c, t in _EDGE.items()), "block_id", words.cast("string").alias("tokens"))
+    # Tokens are moved as one string, which takes half the room of an array, and split where they have come to.
+    both = vertices.unionByName(edges).repartition(*PAGE)
+    return both.withColumn("tokens", F.when(F.col("tokens") == "", F.array().cast("array<string>")).otherwise(F.split("tokens", " ")))
 
 
 def _members(page: pd.DataFrame, clusters: list[list[str]]) -> pd.DataFrame:

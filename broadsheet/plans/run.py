@@ -84,9 +84,11 @@ def run(found: DataFrame, config: Config = Config()) -> Run:
     placed = settled(layout.annotate(kept, columns))
     pairs = candidates.pairs(placed, config.top)
     pairs = settled(pairs) if with_text else pairs
+    ready = pair_text.merge(pairs, pair_text.features(pairs, found, config.sequence, kept=placed)) if with_text else pairs
+    scored = settled(scoring.score(ready, config.model(), config.cut()))
+    # The pages' groups get tokens alone, made before they are moved.
+    to_join = placed.join(found.select("block_id", "ord", clustering.joined_tokens("ocr_text").alias(clustering.TOKENS)), ["block_id", "ord"]) if texts and config.validate else placed
+    clusters, scored = clustering.cluster(to_join, scored, config.method, config.validate, config.validation, config.resolution, config.seed)
     if texts:
         placed = placed.join(found.select("block_id", "ord", *texts), ["block_id", "ord"])
-    ready = pair_text.merge(pairs, pair_text.features(pairs, placed, config.sequence)) if with_text else pairs
-    scored = settled(scoring.score(ready, config.model(), config.cut()))
-    clusters, scored = clustering.cluster(placed, scored, config.method, config.validate, config.validation, config.resolution, config.seed)
     return Run(tables.pages_of(found), placed, columns, pairs, scored, clusters)
