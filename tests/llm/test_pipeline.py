@@ -50,3 +50,14 @@ def test_odd_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
         assert stage(spark, odd, SF).filter("doc_id IS NULL").count() == 1
+
+
+def test_lines_stage_behind_a_match(spark, monkeypatch):
+    # Under "key", the class right behind HOT others is like the first; the last two are like each other alone.
+    monkeypatch.setattr(lines, "HOT", 3)
+    head, one, two, pair = ([f"{x}{i}" for i in range(9 if x != "s" else 7)] for x in "hpqs")
+    queue = [["key", *head], ["key", *one], ["key", *two], ["key", *head, "more"], ["key", *pair], ["own1", "own2", "key", *pair]]
+    texts = ["\n".join([*head, *one, *two, *pair, "more"] * 40)] + [" ".join(words) for words in queue]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute_lines(texts)
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines_stage(spark, docs, SF).collect()} == {i: t for i, t in enumerate(want) if t.strip()}
