@@ -82,7 +82,7 @@ def _rows(blocks: DataFrame, scored: DataFrame, tokens: bool = False) -> DataFra
     if tokens and (TOKENS in blocks.columns or "ocr_text" in blocks.columns):
         words = F.col(TOKENS) if TOKENS in blocks.columns else joined_tokens("ocr_text")
     vertices = blocks.select(*PAGE, *(F.lit(None).cast(t).alias(c) for c, t in _EDGE.items()), "block_id", words.cast("string").alias("tokens"))
-    # Tokens are moved as one string, which takes half the room of an array, and split where they have come to.
+    # Tokens are moved as one string, which takes less room than an array, and split where they have come to.
     both = vertices.unionByName(edges).repartition(*PAGE)
     return both.withColumn("tokens", F.when(F.col("tokens") == "", F.array().cast("array<string>")).otherwise(F.split("tokens", " ")))
 

@@ -1,7 +1,7 @@
 """Text features of candidate pairs.
 
 The blocks of a newspaper, or of a page where no weights of terms are wanted, and its pairs come together once, so a text is moved once and not for each of its pairs
-or terms. What is held at a time is a newspaper's texts and some 30 bytes for each of its words, as a newspaper's blocks are one corpus.
+or terms. What is held at a time is a newspaper's texts and a few numbers for each of its words, as a newspaper's blocks are one corpus.
 """
 
 from __future__ import annotations
