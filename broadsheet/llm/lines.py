@@ -90,15 +90,18 @@ def numbered(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFram
     return docs.join(named, _same_row(row, {c: f"own_{c}" for c in ROW})).select("number", "text"), ranks
 
 
-def rarities(docs: DataFrame) -> list[int]:
-    """A level for each bucket, higher ones for more frequent words; words are counted over all lines of (number, text)."""
+def rarities(docs: DataFrame) -> DataFrame:
+    """(levels), a single row, written: the top byte of the keys of each bucket's words, higher for more frequent ones; words are counted over all lines of (number, text).
+
+    The array never comes to the driver's Python nor, as numbers, into a plan, whose text the driver would keep for each query.
+    """
     words = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words(F.col("line"))).alias("word"))
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    levels = [0] * BUCKETS
-    # BUCKETS rows at most, whatever the input is.
-    for bucket, level in counts.select("bucket", F.floor(F.log2(F.col("n") + 1) * STEPS)).collect():
-        levels[bucket] = level
-    return levels
+    # BUCKETS rows, whatever the input is.
+    every = counts.unionByName(docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("n"))).groupBy("bucket").agg(F.max("n").alias("n"))
+    level = F.floor(F.log2(F.col("n") + 1) * STEPS)
+    dealt = F.sort_array(F.collect_list(F.shiftleft("bucket", 8).bitwiseOR(level)))
+    return common.stash(every.agg(F.transform(dealt, lambda x: F.shiftleft(x.bitwiseAND(F.lit(255)), 56)).alias("levels")), "levels")
 
 
 def _prefix(n: Column, similar: int) -> Column:
@@ -106,22 +109,24 @@ def _prefix(n: Column, similar: int) -> Column:
     return n - F.ceil(n * F.lit(similar) / F.lit(100)).cast("int") + 1
 
 
-def _line_sets(docs: DataFrame, levels: list[int], similar: int) -> DataFrame:
+def _line_sets(docs: DataFrame, levels: DataFrame, similar: int) -> DataFrame:
     """(key, n, c1, c2, SIGNATURE, prefix) of every line that has words.
 
     prefix: its rarest words as numbers of 31 bits, one more than _prefix says; none for sets that only equal ones are similar to. signature: one bit of 128 for
     each word, or of 256 in lines of over LONG words; the first 128 bits of these, together with the last, are the shorter signature.
     """
     lines = docs.select("number", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    table = F.split(F.lit(",".join(str(level << 56) for level in levels)), ",").cast("array<bigint>")
+    # Inside of functions over arrays a subquery may not be written, but the optimizer puts it there in place of its column.
+    lines = lines.withColumn("levels", levels.scalar())
 
     def key(h: Column) -> Column:
-        return F.coalesce(F.get(table, _bucket(h)), F.lit(0).cast("bigint")).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.get("levels", _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     hashes = F.array_remove(F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     keys = F.sort_array(F.transform(hashes, key))
     # The one-element array keeps the optimizer from working the keys out once for every use of theirs.
-    sets = lines.select(F.shiftleft("number", LINE_BITS).bitwiseOR(F.col("line").cast("bigint")).alias("key"), F.explode(F.array(keys)).alias("keys")).filter(F.size("keys") > 0)
+    sets = lines.select(F.shiftleft("number", LINE_BITS).bitwiseOR(F.col("line").cast("bigint")).alias("key"), keys.alias("keys"))
+    sets = sets.select("key", F.explode(F.array("keys")).alias("keys")).filter(F.size("keys") > 0)
     n, least = F.size("keys"), -(-similar // (100 - similar)) if similar < 100 else (1 << 31) - 1
     tokens = F.transform(F.slice("keys", 1, F.when(n >= least, _prefix(n, similar) + 1).otherwise(0)), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
 
@@ -299,7 +304,9 @@ def _others(classes: DataFrame, failed: DataFrame, similar: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """(number, text) -> (number, lines): the lines that go, as _by_row has them, for rows that lose any."""
-    lines = common.stash(_line_sets(docs, rarities(docs), similar), "lines")
+    levels = rarities(docs)
+    lines = common.stash(_line_sets(docs, levels, similar), "lines")
+    common.drop_stash(levels)
     # Narrow rows are summed up; only then the first lines' columns come, once.
     heads = common.stash(lines.groupBy("c1", "c2").agg(F.min("key").alias("key")).select("key"), "heads")
     classes = common.stash(lines.drop("c1", "c2").join(heads.hint("merge"), "key", "left_semi"), "classes")

@@ -205,6 +205,14 @@ def test_lines_crowded_words(docs, monkeypatch):
     assert [rows[i] for i in range(len(texts))] == brute_lines(texts)
 
 
+def test_lines_plans_are_small(docs):
+    # The driver keeps the text of a plan for each query; the table of the words' rarities is not in it.
+    rows = lines.numbered(docs(["a b c d", "a b a"]), "doc_id", "text")[0]
+    (levels,) = (table := lines.rarities(rows)).first()
+    assert len(levels) == lines.BUCKETS and sorted(x >> 56 for x in levels if x) == [2, 2, 3, 4]
+    assert len(lines._line_sets(rows, table, lines.SIMILAR)._jdf.queryExecution().toString()) < 200_000
+
+
 def test_lines_behind_a_match(docs, monkeypatch):
     # Under "key", the class right behind HOT others is like the first; the two behind it are like each other alone, and share no other word of their prefixes.
     monkeypatch.setattr(lines, "HOT", 3)
