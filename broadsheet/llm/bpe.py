@@ -18,8 +18,7 @@ name that the input already has raises ValueError. The words that a worker remem
 from __future__ import annotations
 
 import base64
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -228,12 +227,11 @@ def _ids_array(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<u4").astype(np.int32)))
 
 
-def _lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, ends) of at most CHUNK_IDS ids, but for a single longer list; null counts as empty."""
+def _lists(lists: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, ends) of at most CHUNK_IDS ids, but for a single longer list."""
     ids: list[np.ndarray] = []
     held = 0
-    for value in column:
-        own = value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, np.int32)
+    for own in lists:
         if ids and held + len(own) > CHUNK_IDS:
             yield np.concatenate(ids), np.cumsum([len(x) for x in ids])
             ids, held = [], 0
@@ -243,6 +241,11 @@ def _lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(ids), np.cumsum([len(x) for x in ids])
 
 
+def _own(column: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each list of a column; null counts as empty."""
+    return (value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, np.int32) for value in column)
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds array<int> `out` with the ids of each whole text. keep: the input's columns in the result (default: all)."""
     common.bound_batches(df.sparkSession)
@@ -272,7 +275,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
         codec = Codec.of(path, pattern)
         for batch in batches:
             rows, start = batch.select(keep), 0
-            for flat, ends in _lists(batch.column(ids)):
+            for flat, ends in _lists(_own(batch.column(ids))):
                 part = rows.slice(start, len(ends))
                 start += len(ends)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codec.decode(flat, ends), pa.binary())], names=[*keep, out])
@@ -280,23 +283,37 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     return df.select(*dict.fromkeys([*keep, ids])).mapInArrow(run, schema)
 
 
-@F.pandas_udf(T.StringType())
-def ids_sha256(ids):
-    """Lowercase hex SHA-256 of a list of ids as little-endian unsigned 32-bit integers."""
-    return ids.map(lambda x: hashlib.sha256(np.asarray(x if x is not None else [], dtype="<u4").tobytes()).hexdigest())
+def transcode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """Adds binary `ids` with the ids of each whole text, as little-endian unsigned 32-bit integers, and binary `out` with the bytes that these stand for.
+
+    Both are made in one worker, so a task has one codec; encode() and decode() behind each other have two.
+    """
+    common.bound_batches(df.sparkSession)
+    common.check_new(df, ids, out)
+    keep = df.columns if keep is None else keep
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids, T.BinaryType(), False), T.StructField(out, T.BinaryType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.of(path, pattern)
+        for batch in batches:
+            rows = batch.select(keep)
+            for start, texts in common.chunks(batch.column(text), CHUNK_CHARS):
+                part, made = rows.slice(start, len(texts)), codec.encode(texts)
+                decoded = [x for flat, ends in _lists(np.frombuffer(b, "<u4") for b in made) for x in codec.decode(flat, ends)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary()), pa.array(decoded, pa.binary())], names=schema.names)
+
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: ids of every whole text of documents by the byte-level vocabulary, and their bytes decoded again."""
     import public_tokenizers as public
 
-    path = public.path("byte_bpe_50k.tiktoken")
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode(docs, path, public.PATTERN, keep=["doc_id"])
-    both = decode(encoded, path, public.PATTERN)
+    both = transcode(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, keep=["doc_id"])
     return both.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_sha256("ids").alias("ids_sha256"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

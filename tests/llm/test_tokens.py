@@ -64,6 +64,19 @@ def test_empty_and_null_lists(spark, docs, vocabulary):
         bpe.decode(spark.createDataFrame([([60000],)], "ids array<int>"), *vocabulary).collect()
 
 
+def test_transcode_in_one_worker(spark, docs, vocabulary, monkeypatch):
+    # One Python worker, so one codec, for a task of op1; the same ids and bytes as by encode and decode, also if few ids are decoded at once.
+    monkeypatch.setattr(bpe, "CHUNK_IDS", 50)
+    df = docs(ODD)
+    both = {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in bpe.decode(bpe.encode(df, *vocabulary), *vocabulary).collect()}
+    got = bpe.transcode(df, *vocabulary, keep=["doc_id"]).collect()
+    assert len(got) == len(ODD) and all((np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) == both[r.doc_id] for r in got)
+    plan = bpe.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "Arrow" in x or "Python" in x]) == 1
+    with pytest.raises(ValueError):
+        bpe.transcode(docs([]).withColumnRenamed("word", "decoded"), *vocabulary)
+
+
 def test_ids_are_those_of_tokenizers(file_vocabulary, sample):
     from tokenizers import Tokenizer
 
