@@ -22,6 +22,7 @@ that share an id, or have none, the order is by a hash of the text, and equal ro
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,8 @@ BUCKETS = 1 << 18
 STEPS = 2
 #: Places in a word's queue up to which a class is held against all earlier ones there.
 HOT = 1024
+#: Rows of words that a task of the search for partners gets, or fewer.
+TASK_ROWS = 1_000_000
 #: Words above which a line has a signature of 256 bits, besides 128.
 LONG = 96
 SIGNATURE = ("bits0", "bits1", "bits2", "bits3")
@@ -54,6 +57,11 @@ def _words(line: Column) -> Column:
     return F.split(plain, " ")
 
 
+def _hashes(line: Column) -> Column:
+    """Hashes of a line's distinct words."""
+    return F.array_except(F.transform(_words(line), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+
+
 def _bucket(word_hash: Column) -> Column:
     return word_hash.bitwiseAND(F.lit(BUCKETS - 1).cast("bigint"))
 
@@ -101,7 +109,9 @@ def rarities(docs: DataFrame) -> DataFrame:
     every = counts.unionByName(docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("n"))).groupBy("bucket").agg(F.max("n").alias("n"))
     level = F.floor(F.log2(F.col("n") + 1) * STEPS)
     dealt = F.sort_array(F.collect_list(F.shiftleft("bucket", 8).bitwiseOR(level)))
-    return common.stash(every.agg(F.transform(dealt, lambda x: F.shiftleft(x.bitwiseAND(F.lit(255)), 56)).alias("levels")), "levels")
+    # A task's table of BUCKETS counts is larger than the quick one that Spark keeps by default.
+    with common.settings(docs.sparkSession, spark__sql__codegen__aggregate__fastHashMap__capacityBit="19", spark__sql__codegen__aggregate__map__vectorized__enable="true"):
+        return common.stash(every.agg(F.transform(dealt, lambda x: F.shiftleft(x.bitwiseAND(F.lit(255)), 56)).alias("levels")), "levels")
 
 
 def _prefix(n: Column, similar: int) -> Column:
@@ -109,26 +119,37 @@ def _prefix(n: Column, similar: int) -> Column:
     return n - F.ceil(n * F.lit(similar) / F.lit(100)).cast("int") + 1
 
 
+def _index_prefix(n: Column, similar: int) -> Column:
+    """As _prefix, against similar sets of as many words or more: two sets of n and m words share 2s / (1 + s) of the smaller one's words at least."""
+    return n - F.ceil(n.cast("bigint") * F.lit(2 * similar) / F.lit(100 + similar)).cast("int") + 1
+
+
 def _line_sets(docs: DataFrame, levels: DataFrame, similar: int) -> DataFrame:
-    """(key, n, c1, c2, SIGNATURE, prefix) of every line that has words.
+    """(key, n, c1, c2, SIGNATURE, prefix, rare) of every line that has words.
 
     prefix: its rarest words as numbers of 31 bits, one more than _prefix says; none for sets that only equal ones are similar to. signature: one bit of 128 for
-    each word, or of 256 in lines of over LONG words; the first 128 bits of these, together with the last, are the shorter signature.
+    each word, or of 256 in lines of over LONG words; the first 128 bits of these, together with the last, are the shorter signature. rare: how many words of the
+    prefix, from the first on, are in HOT lines at most by the count of their bucket (one step less, as logarithms are rounded).
     """
     lines = docs.select("number", F.posexplode(F.split("text", "\n")).alias("line", "words"))
     # Inside of functions over arrays a subquery may not be written, but the optimizer puts it there in place of its column.
-    lines = lines.withColumn("levels", levels.scalar())
+    lines = lines.withColumn("levels", levels.select(F.transform("levels", lambda x: F.shiftright(x, 56).cast("tinyint")).alias("levels")).scalar())
 
     def key(h: Column) -> Column:
-        return F.get("levels", _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 8))
+        # Where no key can be null, they are sorted as plain numbers.
+        level = F.coalesce(F.get("levels", _bucket(h)), F.lit(0).cast("tinyint"))
+        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    hashes = F.array_remove(F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    keys = F.sort_array(F.transform(hashes, key))
+    keys = F.sort_array(F.transform(_hashes(F.col("words")), key))
     # The one-element array keeps the optimizer from working the keys out once for every use of theirs.
     sets = lines.select(F.shiftleft("number", LINE_BITS).bitwiseOR(F.col("line").cast("bigint")).alias("key"), keys.alias("keys"))
     sets = sets.select("key", F.explode(F.array("keys")).alias("keys")).filter(F.size("keys") > 0)
     n, least = F.size("keys"), -(-similar // (100 - similar)) if similar < 100 else (1 << 31) - 1
-    tokens = F.transform(F.slice("keys", 1, F.when(n >= least, _prefix(n, similar) + 1).otherwise(0)), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    first = F.slice("keys", 1, F.when(n >= least, _prefix(n, similar) + 1).otherwise(0))
+    tokens = F.transform(first, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    often = max(math.floor(math.log2(HOT + 2) * STEPS) - 1, 0) << 56
+    often = F.lit(often).cast("bigint")
+    rare = F.when(F.get(first, F.size(first) - 1) < often, F.size(first)).otherwise(F.size(F.filter(first, lambda x: x < often)))
 
     def bits(part: int, parts: int) -> Column:
         # A word's bit from a table, so that little is worked out for each word.
@@ -137,7 +158,7 @@ def _line_sets(docs: DataFrame, levels: DataFrame, similar: int) -> DataFrame:
         return F.aggregate("keys", F.lit(0).cast("bigint"), lambda some, x: some.bitwiseOR(F.get(table, x.bitwiseAND(F.lit(64 * parts - 1).cast("bigint")))))
 
     signature = [F.when(n > LONG, bits(k, 4)).otherwise(bits(k, 2) if k < 2 else F.lit(0)).alias(name) for k, name in enumerate(SIGNATURE)]
-    return sets.select("key", n.alias("n"), F.xxhash64("keys").alias("c1"), F.xxhash64(F.lit(1), "keys").alias("c2"), *signature, tokens.alias("prefix"))
+    return sets.select("key", n.alias("n"), F.xxhash64("keys").alias("c1"), F.xxhash64(F.lit(1), "keys").alias("c2"), *signature, tokens.alias("prefix"), rare.alias("rare"))
 
 
 def _similar(n: Column, m: Column, overlap: Column, similar: int) -> Column:
@@ -181,7 +202,7 @@ def _tokens(classes: DataFrame, similar: int) -> DataFrame:
     """(token, key, size, SIGNATURE): a row for each word of a class's prefix; size: how many words the class has, then the word's place."""
     n = F.col("n")
     some = classes.select("key", "n", *SIGNATURE, F.posexplode(F.slice("prefix", 1, _prefix(n, similar))).alias("place", "token"))
-    return _whole(some.select(F.col("token").cast("bigint").alias("token"), "key", F.shiftleft(n.cast("bigint"), 32).bitwiseOR(F.col("place").cast("bigint")).alias("size"), *SIGNATURE))
+    return _whole(some.select("token", "key", F.shiftleft(n.cast("bigint"), 32).bitwiseOR(F.col("place").cast("bigint")).alias("size"), *SIGNATURE))
 
 
 def _whole(tokens: DataFrame) -> DataFrame:
@@ -199,7 +220,7 @@ def _pairs_of_tokens(classes: DataFrame, hot: DataFrame, similar: int) -> DataFr
 
 
 def _best(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("x", "hot").agg(F.max_by("y", "like").alias("y"), F.max("like").alias("like"))
+    return pairs.groupBy("x").agg(F.max_by("y", "like").alias("y"), F.max("like").alias("like"))
 
 
 def _met(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -214,45 +235,66 @@ def _queue(tokens: DataFrame) -> DataFrame:
     return tokens.select("*", F.expr(f"row_number() {order})").alias("turn"), *(c.alias(name) for name, c in head.items())).filter("turn > 1")
 
 
-def _partners(tokens: DataFrame, similar: int) -> DataFrame:
-    """(x, hot, y, like): for classes x that may match one of the earlier classes under a token of theirs, the one most like it.
+def _hot(tokens: DataFrame) -> DataFrame:
+    """(hot): tokens that over HOT classes have, written."""
+    return common.stash(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select(F.col("token").alias("hot")), "hot")
+
+
+def _without(tokens: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
+    return tokens.join(F.broadcast(hot) if n_hot <= FEW else hot.hint("merge"), F.col("token") == F.col("hot"), "left_anti") if n_hot else tokens
 
-    A class that may match the first one is held against no other one there, and neither is a class behind HOT others: such a token comes as hot, with x null,
-    whether or not the class that stands right behind the HOT ones may match the first, as those behind it may be unlike.
+
+def _partners(tokens: DataFrame, similar: int, rows: int) -> DataFrame:
+    """(x, y, like), written: for classes x that may match an earlier class under a token of theirs, the one most like it. No token may be hot; rows: how many there are.
+
+    Of two classes the longer one (of equally long ones the later) comes with its whole prefix, the other one with its first _index_prefix words, and twice: for its
+    own step of lengths and for the next, of which one is the longer one's. Both sides read one exchange by token.
     """
-    match = _may_match(similar, "", "head_") & (F.col("head_key") < F.col("key"))
-    queue = _queue(tokens).filter(F.col("turn") <= HOT + 1).withColumns({"over": F.col("turn") > HOT, "match": match})
-    queue = queue.select(*tokens.columns, "over", F.when(F.col("over") | F.col("match"), F.col("head_key")).alias("only"))
-    met = _met(queue, tokens).filter(F.when(F.col("a.only").isNotNull(), F.col("b.key") == F.col("a.only")).otherwise(_may_match(similar, "a.", "b.")))
-    return _best(met.select(F.when(~F.col("a.over"), F.col("a.key")).alias("x"), F.when(F.col("a.over"), F.col("a.token")).alias("hot"), F.col("b.key").alias("y"), _likeness("a.", "b.").alias("like")))
+    spark = tokens.sparkSession
+    n, place = F.shiftright("size", 32).cast("int"), F.col("size").bitwiseAND(F.lit(0xFFFFFFFF))
+    # What cannot be null, or comes out of an outer explode, gets no filter from the optimizer, which would put it into one side's exchange.
+    step = F.coalesce(F.floor(F.log(n) / F.lit(math.log(100 / similar * 1.0001))).cast("int"), F.lit(0))
+    dealt = tokens.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS), "token")
+    longer = dealt.select("*", step.alias("step"))
+    shorter = dealt.select("*", F.explode_outer(F.when(place < _index_prefix(n, similar), F.array(step, step + 1))).alias("step"))
+    met = longer.alias("a").join(shorter.hint("shuffle_hash").alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.step") == F.col("b.step")))
+    n, m = (F.shiftright(F.col(f"{x}.size"), 32) for x in "ab")
+    met = met.filter(((n > m) | ((n == m) & (F.col("a.key") > F.col("b.key")))) & _may_match(similar, "a.", "b."))
+    found = _best(met.select(F.greatest("a.key", "b.key").alias("x"), F.least("a.key", "b.key").alias("y"), _likeness("a.", "b.").alias("like")))
+    # Rows dealt by token are dealt by token and step, too.
+    with common.settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
+        return common.stash(found, "partners")
 
 
 def _behind_heads(tokens: DataFrame, similar: int, further: bool) -> DataFrame:
     """As _partners, for tokens that very many classes have: all are held against the first, and `further` those unlike it against the other earlier ones."""
     queue = _queue(tokens)
     match = _may_match(similar, "", "head_") & (F.col("head_key") < F.col("key"))
-    no_token = F.lit(None).cast("bigint").alias("hot")
-    found = queue.filter(match).select(F.col("key").alias("x"), no_token, F.col("head_key").alias("y"), _likeness("", "head_").alias("like"))
+    found = queue.filter(match).select(F.col("key").alias("x"), F.col("head_key").alias("y"), _likeness("", "head_").alias("like"))
     if further:
         met = _met(queue.filter(~match).select(*tokens.columns), tokens).filter(_may_match(similar, "a.", "b."))
-        found = found.unionByName(met.select(F.col("a.key").alias("x"), no_token, F.col("b.key").alias("y"), _likeness("a.", "b.").alias("like")))
-    return _best(found)
+        found = found.unionByName(met.select(F.col("a.key").alias("x"), F.col("b.key").alias("y"), _likeness("a.", "b.").alias("like")))
+    return common.stash(_best(found), "partners")
 
 
 def _all_partners(classes: DataFrame, similar: int) -> DataFrame:
     """(x, y): a partner for each class that may match an earlier one, written."""
     tokens = _tokens(classes, similar)
-    stashes = [common.stash(_partners(tokens, similar), "partners")]
-    hot = stashes[0].filter("hot IS NOT NULL").select("hot")
-    if not hot.isEmpty():
-        of_two = _pairs_of_tokens(classes, hot.select(F.col("hot").cast("int").alias("first")), similar)
-        stashes += [common.stash(_behind_heads(tokens.join(hot, F.col("token") == F.col("hot"), "left_semi"), similar, False), "partners"), common.stash(_partners(of_two, similar), "partners")]
-        still = stashes[2].filter("hot IS NOT NULL").select("hot")
-        if not still.isEmpty():
-            stashes.append(common.stash(_behind_heads(of_two.join(still, F.col("token") == F.col("hot"), "left_semi"), similar, True), "partners"))
-    found = reduce(DataFrame.unionByName, (x.filter("x IS NOT NULL") for x in stashes))
-    out = common.stash(found.groupBy("x").agg(F.max_by("y", "like").alias("y")), "partners")
-    common.drop_stash(*stashes)
+    rows = classes.agg(F.sum(_prefix(F.col("n"), similar).cast("bigint"))).first()[0] or 0
+    common_words = F.slice("prefix", F.col("rare") + 1, F.greatest(_prefix(F.col("n"), similar) - F.col("rare"), F.lit(0)))
+    hot = _hot(classes.select(F.explode(common_words).alias("token")))
+    n_hot = hot.count()
+    found, stashes = [_partners(_without(tokens, hot, n_hot), similar, rows)], [hot]
+    if n_hot:
+        of_two = _pairs_of_tokens(classes, hot.select(F.col("hot").alias("first")), similar)
+        still = _hot(of_two)
+        n_still = still.count()
+        found += [_behind_heads(tokens.join(hot, F.col("token") == F.col("hot"), "left_semi"), similar, False), _partners(_without(of_two, still, n_still), similar, of_two.count())]
+        stashes.append(still)
+        if n_still:
+            found.append(_behind_heads(of_two.join(still, F.col("token") == F.col("hot"), "left_semi"), similar, True))
+    out = common.stash(reduce(DataFrame.unionByName, found).groupBy("x").agg(F.max_by("y", "like").alias("y")), "partners")
+    common.drop_stash(*stashes, *found)
     return out
 
 
@@ -274,9 +316,9 @@ def _is_set(lines: Column, line: Column) -> Column:
 def _verified(docs: DataFrame, pairs: DataFrame, similar: int, few: bool = False) -> DataFrame:
     """Pairs (x, y) of keys of lines -> (x), each once, of those that are similar to some y by their whole sets of words. few: at most FEW pairs, so that the texts need not move."""
     wanted = _by_row(pairs.select(F.col("x").alias("key")).union(pairs.select("y")))
-    wanted = F.broadcast(wanted) if few else wanted.hint("merge")
+    wanted = F.broadcast(wanted) if few else wanted.hint("shuffle_hash")
     lines = docs.join(wanted, "number").select("number", "lines", F.posexplode(F.split("text", "\n")).alias("line", "words")).filter(_is_set(F.col("lines"), F.col("line")))
-    hashes = F.array_remove(F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    hashes = _hashes(F.col("words"))
     sets = common.stash(lines.select(F.shiftleft("number", LINE_BITS).bitwiseOR(F.col("line").cast("bigint")).alias("key"), hashes.alias("words")), "sets")
     both = pairs.select("x", "y").join(sets.select(F.col("key").alias("x"), F.col("words").alias("a")), "x").join(sets.select(F.col("key").alias("y"), F.col("words").alias("b")), "y")
     found = common.stash(both.filter(_similar(F.size("a"), F.size("b"), F.size(F.array_intersect("a", "b")), similar)).select("x").distinct(), "gone")
@@ -291,9 +333,12 @@ def _others(classes: DataFrame, failed: DataFrame, similar: int) -> DataFrame:
     """
     n = F.col("n")
     words = F.slice("prefix", 1, _prefix(n, similar))
-    rows = classes.select("key", "n", *SIGNATURE, words.alias("words"), F.explode(words).alias("token")).withColumn("size", F.shiftleft(n.cast("bigint"), 32))
-    left = common.stash(rows.join(failed.select(F.col("x").alias("key"), F.col("y").alias("not_y")), "key"), "left")
-    met = _met(F.broadcast(left) if left.count() <= FEW else left, rows).filter((F.col("b.key") != F.col("a.not_y")) & _may_match(similar, "a.", "b."))
+
+    def rows(some: DataFrame, *more: str) -> DataFrame:
+        return some.select("key", "n", *SIGNATURE, *more, words.alias("words"), F.explode(words).alias("token")).withColumn("size", F.shiftleft(n.cast("bigint"), 32))
+
+    left = common.stash(rows(classes.join(failed.select(F.col("x").alias("key"), F.col("y").alias("not_y")), "key"), "not_y"), "left")
+    met = _met(F.broadcast(left) if left.count() <= FEW else left, rows(classes)).filter((F.col("b.key") != F.col("a.not_y")) & _may_match(similar, "a.", "b."))
     shared = F.array_intersect("a.words", "b.words")
     behind = F.greatest(F.col("a.n") - F.size("a.words"), F.col("b.n") - F.size("b.words"))
     met = met.filter((F.get(shared, F.lit(0)) == F.col("a.token")) & _similar(F.col("a.n"), F.col("b.n"), F.size(shared) + behind, similar))
@@ -308,13 +353,14 @@ def removed_lines(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     lines = common.stash(_line_sets(docs, levels, similar), "lines")
     common.drop_stash(levels)
     # Narrow rows are summed up; only then the first lines' columns come, once.
-    heads = common.stash(lines.groupBy("c1", "c2").agg(F.min("key").alias("key")).select("key"), "heads")
-    classes = common.stash(lines.drop("c1", "c2").join(heads.hint("merge"), "key", "left_semi"), "classes")
-    same = common.stash(lines.select("key").join(heads.hint("merge"), "key", "left_anti"), "same")
-    common.drop_stash(lines, heads)
+    heads = lines.groupBy("c1", "c2").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("head"))
+    n = F.when(F.col("head"), F.col("n"))
+    marked = common.stash(lines.drop("c1", "c2").join(heads.hint("shuffle_hash"), "key", "left").select("key", n.alias("n"), *(F.when(F.col("head"), F.col(c)).alias(c) for c in (*SIGNATURE, "prefix", "rare"))), "classes")
+    common.drop_stash(lines)
+    classes, same = marked.filter("n IS NOT NULL"), marked.filter("n IS NULL").select("key")
     long_enough = classes.filter(F.size("prefix") > 0)
     best = _all_partners(long_enough, similar)
-    stashes = [classes, same, best]
+    stashes = [marked, best]
     gone = _verified(docs, best, similar)
     failed = common.stash(best.join(gone, "x", "left_anti"), "failed")
     stashes += [gone, failed]
@@ -336,7 +382,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", similar: in
     docs, ranks = numbered(df, id_col, text)
     removed = removed_lines(docs, similar).select(F.col("number").alias(number), F.col("lines").alias(lost))
     if ranks is None:
-        joined = df.join(removed.hint("merge"), F.col(id_col) == F.col(number), "left")
+        joined = df.join(removed.hint("shuffle_hash"), F.col(id_col) == F.col(number), "left")
     else:
         by_row = removed.join(ranks.select(F.col("number").alias(number), *(F.col(c).alias(name) for c, name in zip(ROW, own))), number)
         joined = df.join(by_row.hint("merge"), _same_row(_row(F.col(id_col), F.col(text)), dict(zip(ROW, own))), "left")

@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pytest
 
-from broadsheet.llm import exact, graph, lines, near
+from broadsheet.llm import common, exact, graph, lines, near
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -213,6 +213,38 @@ def test_lines_plans_are_small(docs):
     assert len(lines._line_sets(rows, table, lines.SIMILAR)._jdf.queryExecution().toString()) < 200_000
 
 
+def test_lines_of_many_lengths(docs, monkeypatch):
+    # Similar lines, the longer or the shorter one first, around the limits of length and of prefixes; short queues, and ones that go on by pairs of words.
+    rng = random.Random(11)
+    texts = []
+    for s in range(40):
+        n = rng.choice([4, 5, 8, 9, 10, 16, 20, 25, 45, 100, 125])
+        words = [f"v{rng.randrange(60)}" if rng.random() < 0.3 else f"w{s}x{i}" for i in range(n)]
+        other = words[: max(1, round(n * rng.choice([0.78, 0.8, 0.82, 0.9])))]
+        other = other + [f"u{s}x{i}" for i in range(rng.choice([0, 0, n // 10]))]
+        texts += rng.sample([" ".join(words), " ".join(rng.sample(other, len(other)))], 2)
+    rng.shuffle(texts)
+    want = brute_lines(texts)
+    assert 0 < sum(t == "" for t in want) < 40
+    for hot in (lines.HOT, 2):
+        monkeypatch.setattr(lines, "HOT", hot)
+        rows = {r.doc_id: r.text for r in lines.dedup(docs(texts)).collect()}
+        assert [rows[i] for i in range(len(texts))] == want
+
+
+def test_lines_meet_by_length(docs, monkeypatch):
+    # Classes that share a word meet only where their lengths are near; both sides read one exchange, and neither is sorted.
+    plans = []
+    stash = common.stash
+    monkeypatch.setattr(common, "stash", lambda df, label: (plans.append((label, df._jdf.queryExecution().executedPlan().toString())), stash(df, label))[1])
+    texts = [" ".join(f"{c}{i % 7 if i < 2 else i}" for i in range(n)) for n in (10, 12, 60) for c in "ab"]
+    assert [r.text for r in lines.dedup(docs(texts)).orderBy("doc_id").collect()] == brute_lines(texts)
+    (plan,) = [p for label, p in plans if label == "partners" and "bits0" in p]
+    assert re.search(r"ShuffledHashJoin \[token#\d+, step#\d+\], \[token#\d+, step#\d+\]", plan) and not re.search("SortMergeJoin|Window", plan)
+    exchanges = re.findall(r"Exchange hashpartitioning\(token#\d+, ", plan)
+    assert exchanges and "step" not in "".join(re.findall(r"Exchange [^\n]*", plan))
+
+
 def test_lines_behind_a_match(docs, monkeypatch):
     # Under "key", the class right behind HOT others is like the first; the two behind it are like each other alone, and share no other word of their prefixes.
     monkeypatch.setattr(lines, "HOT", 3)
