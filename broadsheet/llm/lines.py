@@ -6,13 +6,13 @@ of SIMILAR or more, whether or not that one goes too. So of equal and similar li
 1. Words are counted over all documents by BUCKETS hash buckets, so the table of their rarities has a fixed size.
 2. A line becomes the sorted array of its words' keys: rarity, then hash. Lines with equal arrays are one class, whose first line
    stands for it; the others go. A line's key is its row's number, then its own, so keys are in the order of the lines.
-3. Two similar sets of n and m words share a word among their n - ceil(s n) + 1 and m - ceil(s m) + 1 rarest (prefix filter). The classes
-   that have a word in their prefix stand in line under it, earliest first. Each is held against the earlier ones (length, positional and
-   signature filters), and the one most like it by its signature is its partner. Pairs are never written.
+3. Two similar sets of n and m words share a word among their n - ceil(s n) + 1 and m - ceil(s m) + 1 rarest (prefix filter); of the shorter one
+   m - ceil(2s m / (1 + s)) + 1 will do. Classes that have a word in such prefixes meet under it, if their lengths are near (hash join by word and step of
+   lengths). Each is held against the earlier ones (length, positional and signature filters), and the one most like it by its signature is its partner. Pairs are never written.
 4. Each class is compared with its partner by their whole sets of words; it goes if they are similar. The few whose partner is
    not similar are compared with all earlier ones that pass the filters.
 
-Who may match the first class under a word is held against no other one there. Of those that may not, the ones behind HOT others look for partners under two shared
+Words that over HOT classes have in their prefixes are found beforehand. Under such a word all are held against the first class, and all look for partners under two shared
 words: similar sets share two among their first words, if one more is taken. Where two words have over HOT classes too, only
 those unlike the first are held against the others. So a word, line or passage that very many lines have costs a few comparisons for each of them.
 
